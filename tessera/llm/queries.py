@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, language_id, quality_rules, url_filter
+from tessera.llm import chat_format, decontaminate, language_id, quality_rules, url_filter
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_language_id": language_id.op10_language_id,
 }
