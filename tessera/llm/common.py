@@ -68,3 +68,14 @@ def runs(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+
+
+def code_points(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of consecutive texts, a line feed after each, and the text of each point."""
+    n = len(bounds) - 1
+    parts = raw.tobytes()
+    joined = b"\n".join(parts[bounds[i] : bounds[i + 1]] for i in range(n)) + b"\n"
+    points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)])
+    ends = before[bounds[1:] + np.arange(1, n + 1)]
+    return points, np.repeat(np.arange(n), np.diff(np.concatenate([[0], ends])))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, runs, table, utf8
+from tessera.llm.common import bounded_batches, code_points, runs, table, utf8
 
 CLASSES = 128
 GRAMS = CLASSES**3
@@ -53,17 +53,9 @@ def _codes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
     A class sequence is the text's classes with runs of 0 collapsed and one 0 at either end.
     """
-    # Code points from UTF-8 by position: a text starts a new sequence, marked by a line feed before it.
     n = len(bounds) - 1
-    parts = raw.tobytes()
-    joined = b"\n".join(parts[bounds[i] : bounds[i + 1]] for i in range(n)) + b"\n"
-    points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    points, row = code_points(raw, bounds)
     classes = _classes()[np.minimum(points, 0x10FFFF)]
-    ends = bounds[1:] + np.arange(1, n + 1)  # byte position after each separator
-    starts_char = (np.frombuffer(joined, np.uint8) & 0xC0) != 0x80
-    chars_before = np.concatenate([[0], np.cumsum(starts_char)])
-    char_ends = chars_before[ends]
-    row = np.repeat(np.arange(n), np.diff(np.concatenate([[0], char_ends])))
     keep = np.ones(len(classes), bool)
     keep[1:] = (classes[1:] != 0) | (classes[:-1] != 0)
     seq, row = classes[keep].astype(np.int32), row[keep]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, decontaminate, language_id, quality_rules, url_filter
+from tessera.llm import chat_format, decontaminate, language_id, quality_rules, toxicity, url_filter
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontaminate": decontaminate.op6_decontaminate,
