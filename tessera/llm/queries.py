@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, decontaminate, language_id, quality_classifier, quality_rules, toxicity, url_filter
+from tessera.llm import chat_format, decontaminate, language_id, near_dup, quality_classifier, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_near_dup": near_dup.op7_near_dup,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_language_id": language_id.op10_language_id,
