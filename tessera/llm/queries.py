@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat_format, decontaminate, language_id, near_dup, quality_classifier, quality_rules, sentencepiece_sampling, toxicity, url_filter
+from tessera.llm import chat_format, decontaminate, language_id, near_dup, quality_classifier, quality_rules, sentencepiece_sampling, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_sampling.op1_sentencepiece,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_url_filter": url_filter.op5_url_filter,
