@@ -27,7 +27,7 @@ BUCKETS = 1 << 16
 #: Trusted labelled documents the target multinomial is fitted on, at most.
 TARGET_ROWS = 20_000
 #: Mean log ratio a kept document has at least.
-THRESHOLD = -0.35
+THRESHOLD = -0.2
 
 
 def words_of(text: Column) -> Column:
