@@ -33,9 +33,9 @@ from tessera.llm.common import bounded_batches, runs, table, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 17
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: Edges that the table of known units holds before it is begun anew.
-TABLE_EDGES = 6_000_000
+TABLE_EDGES = 3_000_000
 
 _MARK = "▁"
 _UNITS = re.compile(rb"[\n\t]| *[^ \n\t]+| +")
@@ -272,30 +272,60 @@ def encode(docs: DataFrame, key: Column, *, keep: list[str], model: str = MODEL,
     return docs.select(*keep, F.xxhash64(key, F.lit(seed)).alias("_key"), F.col("text").alias("_text")).mapInArrow(cut, schema)
 
 
+def _decode(pieces: list[bytes], ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The texts that pieces stand for, without the blank in front."""
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        out.append(b"".join(map(pieces.__getitem__, ids[a:b].tolist()))[1:])
+    return out
+
+
 def decode(encoded: DataFrame, *, keep: list[str], model: str = MODEL) -> DataFrame:
     """``keep`` columns and text, put together again from ids; null ids give a null text."""
+    bounded_batches(encoded.sparkSession)
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.select(*keep).dtypes) + ", text string"
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _lattices(model, ALPHA).v.pieces
         for batch in batches:
             column = batch.column("_ids")
-            flat, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
-            texts = [b"".join(map(pieces.__getitem__, flat[a:b]))[1:].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            out = pa.array([t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())
+            offsets = column.offsets.to_numpy()
+            texts = _decode(pieces, column.values.to_numpy(zero_copy_only=False), offsets)
+            out = pa.array([t.decode() if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), out], names=[*keep, "text"])
 
     return encoded.select(*keep, F.col("ids").alias("_ids")).mapInArrow(join, schema)
 
 
-def round_trip(docs: DataFrame, *, key: str = "doc_id", model: str = MODEL) -> DataFrame:
-    """The key column, ids, n_pieces, n_bytes and lossless (decoding gives back the text) of every document."""
-    encoded = encode(docs.select(key, "text"), F.col(key), keep=[key, "text"], model=model).withColumnRenamed("text", "_source")
-    decoded = decode(encoded, keep=[key, "ids", "_source"], model=model)
-    return decoded.select(
-        key, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_pieces"), F.coalesce(F.octet_length("_source"), F.lit(0)).cast("bigint").alias("n_bytes"),
-        F.col("text").eqNullSafe(F.col("_source")).alias("lossless"),
-    )
+def round_trip(docs: DataFrame, *, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """The key column, ids, n_pieces, n_bytes and lossless (decoding gives back the text) of every document.
+
+    Encodes like ``encode`` and decodes like ``decode``, both in the worker that holds the text.
+    """
+    bounded_batches(docs.sparkSession)
+    kind = docs.select(key).dtypes[0][1]
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat = _lattices(model, alpha)
+        for batch in batches:
+            column = batch.column("_text")
+            keys = batch.column("_key").to_numpy().view(np.uint64)
+            raw, bounds = utf8(column)
+            data = raw.tobytes()
+            for i, j in runs(bounds, RUN_BYTES):
+                texts = [data[bounds[k] : bounds[k + 1]] for k in range(i, j)]
+                ids, first = _encode(lat, texts, keys[i:j])
+                same = [x == y for x, y in zip(_decode(lat.v.pieces, ids, first), texts, strict=True)]
+                missing = column.slice(i, j - i).is_null()
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=missing)
+                counts = np.where(missing.to_numpy(zero_copy_only=False), 0, np.diff(first))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).slice(i, j - i), lists, pa.array(counts), pa.array(np.diff(bounds[i : j + 1])), pa.array(same)],
+                    names=[key, "ids", "n_pieces", "n_bytes", "lossless"],
+                )
+
+    schema = f"`{key}` {kind}, ids array<int>, n_pieces bigint, n_bytes bigint, lossless boolean"
+    return docs.select(key, F.xxhash64(F.col(key), F.lit(seed)).alias("_key"), F.col("text").alias("_text")).mapInArrow(both, schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
