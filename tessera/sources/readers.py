@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -113,9 +114,9 @@ def keep_tasks(tasks: DataFrame, listed: DataFrame) -> DataFrame:
 def source_tree(spark: SparkSession, root: str, pattern: str = "*.py", tests: bool = True, hidden: bool = False) -> DataFrame:
     """path, text, content of the files below a folder, but for hidden ones; without ``tests`` also test and docs folders are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file://") + "/")
-    path = F.element_at(F.split(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.concat(F.lit(r"\Q"), base, F.lit(r"\E")), 2), -1)
-    out = files.select(path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"), "content")
+    base = re.sub("^[a-z0-9]+:/*", "/", root.rstrip("/")) + "/"
+    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), rf"^.*?\Q{base}\E", "")
+    out = files.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"), "content")
     parts = F.split("path", "/")
     if not hidden:
         out = out.where(~F.exists(parts, lambda p: F.startswith(p, F.lit("."))))
