@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch handed to a Python worker. Documents may be long, so
@@ -45,6 +46,11 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks for use in several places. What a lost executor held is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the bounds of its rows (null: empty), without copying."""
     if column.null_count:

@@ -10,8 +10,8 @@ about twice in 100,000.) Every link is confirmed on the full shingle sets.
 Documents of equal sets form a class that takes part once. A posting list is never paired with
 itself: each member is first compared with the list's smallest, confirmed links are
 joined into components, and only members outside a list's largest component are
-then compared with the rest of it, signatures first. A pair that is left out is linked
-already, so no component is lost.
+then compared with the rest of it, by signatures and larger sketches. A pair that is left out
+is linked already or out of reach, so no component is lost.
 
 Components come from distributed min-label propagation with pointer jumping. Null, empty
 and blank texts have an empty set and are linked with nothing. Repeated doc_ids are one node; rows
@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import bounded_batches, runs, scratch, table, utf8
+from tessera.llm.common import bounded_batches, held, runs, scratch, table, utf8
 
 SYMBOLS, CHUNK = 40, 4
 MAX_DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
 RUN_BYTES = 1 << 20
+#: Hash ranges of the sketch that pairs of a list are sifted by.
+BINS = 512
 #: Members of a posting list that are compared in one block.
 BLOCK = 512
 
@@ -64,6 +66,27 @@ def postings(sig: np.ndarray) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """The least shingle of each of ``BINS`` hash ranges, as a byte; 0 for an empty range."""
+    out = np.zeros(BINS, np.uint8)
+    place = (items >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(items), bool)
+    first[1:] = place[1:] != place[:-1]
+    out[place[first]] = (shingles.mix(items[first]) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+    return out
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sketches allow a similarity of 0.8: their share of equal bins is not five deviations under it.
+
+    Bins sample the union without replacement, so the deviation shrinks as they come to hold all of it.
+    """
+    used = np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+    equal = ((x == y) & (x > 0)).sum(axis=1)
+    unseen = np.clip(1 - used / (sizes / 1.8), 0.02, 1.0)
+    return equal / used >= 0.8 - 5 * np.sqrt(0.16 * unseen / used) - 1 / used
+
+
 def _sets(raw: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarray]:
     for i, j in runs(bounds, RUN_BYTES):
         hashes, first = shingles.words(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
@@ -71,24 +94,25 @@ def _sets(raw: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarra
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sig and keys (null for empty sets) of every row."""
+    """doc_id, n_shingles, digest of the set, sig, keys and sketch (null for empty sets) of every row."""
     bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, sigs, keys = [], [], [], []
+            sizes, digests, sigs, keys, sketches = [], [], [], [], []
             for items in _sets(*utf8(batch.column("text")), width):
                 sizes.append(len(items))
                 sig = signature(items) if len(items) else None
                 digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
                 sigs.append(None if sig is None else sig.tobytes())
                 keys.append(None if sig is None else postings(sig))
+                sketches.append(None if sig is None else sketch(items).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "sig", "keys"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "sig", "keys", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, digest binary, sig binary, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, digest binary, sig binary, keys array<bigint>, sketch binary")
 
 
 def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -107,7 +131,7 @@ def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs a, b whose full sets are similar enough."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"), "texts")
+    texts = held(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +154,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of every node that has an edge a, b."""
+    """node, comp (smallest node reachable) of every node that has an edge a, b.
+
+    Every round takes the least label of the neighbours and then that label's own label, so
+    the rounds grow with the logarithm of a component's width.
+    """
     both = scratch(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "edges")
     labels = scratch(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels")
     while True:
@@ -150,11 +178,11 @@ def _rest(listed: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
     # A list of two was compared in the first round; one component needs nothing more.
     open_ = sizes.groupBy("key").agg(F.max_by("comp", "n").alias("largest"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("members")).where("k > 1 AND members > 2")
     open_ = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).select("key", "largest", "blocks")
-    rows = rows.join(open_, "key").join(signed.select("rep", "sig", "n_shingles"), "rep")
+    rows = rows.join(open_, "key").join(signed.select("rep", "sig", "sketch", "n_shingles"), "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     outside = F.col("comp") != F.col("largest")
-    members = rows.select("key", own.alias("block"), F.lit(False).alias("asks"), "rep", "comp", "sig", "n_shingles")
-    asking = rows.where(outside).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "comp", "sig", "n_shingles")
+    members = rows.select("key", own.alias("block"), F.lit(False).alias("asks"), "rep", "comp", "sig", "sketch", "n_shingles")
+    asking = rows.where(outside).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "comp", "sig", "sketch", "n_shingles")
     dealt = members.unionByName(asking).repartition("key", "block").sortWithinPartitions("key", "block", F.desc("asks"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +193,26 @@ def _rest(listed: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
             t = pa.Table.from_batches(group).combine_chunks()
             asks, rep, comp, n = (t.column(c).to_numpy() for c in ("asks", "rep", "comp", "n_shingles"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            place = int(t.column("key")[0].as_py()) >> 16 * (CHUNK - 1)
             members = np.nonzero(~asks.astype(bool))[0]
+            low, high = [], []
             for q in np.nonzero(asks)[0]:
                 m = members[(comp[members] != comp[q]) & (100 * np.minimum(n[members], n[q]) >= 80 * np.maximum(n[members], n[q]))]
-                m = m[(sig[m] != sig[q]).sum(axis=1) <= MAX_DISTANCE] if len(m) else m
-                if len(m):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[m], rep[q])), pa.array(np.maximum(rep[m], rep[q]))], names=["b", "a"])
+                same = sig[m] == sig[q]
+                near = same.sum(axis=1) >= SYMBOLS - MAX_DISTANCE
+                m, same = m[near], same[near]
+                if not len(m):
+                    continue
+                same = same.reshape(-1, SYMBOLS // CHUNK, CHUNK)
+                # Of the lists that a pair shares, only the first compares it.
+                others = same.sum(axis=2, keepdims=True) - same
+                m = m[(others == CHUNK - 1).reshape(len(m), -1).argmax(axis=1) == place]
+                m = m[_may_link(sketches[m], sketches[q], n[m] + n[q])]
+                low.append(np.minimum(rep[m], rep[q]))
+                high.append(np.maximum(rep[m], rep[q]))
+            if low:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=["b", "a"])
 
         for batch in batches:
             key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
@@ -198,10 +240,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     if percent < 80:
         raise ValueError("the signature threshold holds for a similarity of 0.8 or more")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    every = scratch(signatures(docs, width), "signed")
+    every = held(signatures(docs, width))
     classes = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = scratch(every.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", "rep"), "members")
-    signed = scratch(every.join(classes, "digest").where("doc_id = rep").select("rep", "n_shingles", "sig", "keys").dropDuplicates(["rep"]), "classes")
+    signed = scratch(every.join(classes, "digest").where("doc_id = rep").select("rep", "n_shingles", "sig", "keys", "sketch").dropDuplicates(["rep"]), "classes")
     posted = signed.select(F.explode("keys").alias("key"), "rep")
     hubs = posted.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
     listed = scratch(posted.join(hubs, "key"), "listed")
