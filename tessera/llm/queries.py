@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
+    "op7_near_dup": near_dup.OP7_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
 }

@@ -470,3 +470,24 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], whole_characters: bool =
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, j, substr(h, 2 * j + 1, {2 * (256 + LENGTH - 1)}) AS p FROM d, LATERAL (SELECT unnest(range(0, length(h) // 2, 256)) AS j)),
+places AS (SELECT doc_id, j, p, range(0, greatest(length(p) // 2 - {LENGTH - 1}, 0)) AS ks FROM blocks),
+starts AS (SELECT doc_id, j + k AS k, s FROM (SELECT doc_id, j, unnest(ks) AS k, unnest(list_transform(ks, lambda k: substr(p, 2 * k + 1, {2 * LENGTH}))) AS s FROM places)),
+firsts AS (SELECT s, min(doc_id) AS low FROM starts GROUP BY s),
+gone AS (SELECT doc_id, k FROM starts JOIN firsts USING (s) WHERE low < doc_id),
+islands AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM (
+  SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM gone)),
+spans AS (SELECT doc_id, min(k) AS a, max(k) + {LENGTH} AS b FROM islands GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a, substr(h, 2 * before + 1, 2 * (a - before)) AS piece FROM (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans) JOIN d USING (doc_id)
+),
+totals AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last FROM spans GROUP BY doc_id),
+heads AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS head FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN totals USING (doc_id) LEFT JOIN heads USING (doc_id)
+"""
