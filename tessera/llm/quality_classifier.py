@@ -125,7 +125,8 @@ def judge_documents(docs: DataFrame, labels: DataFrame, *, keep: list[str], host
     ``labels``: doc_id, quality (0 or 1); a document's repeated labels are averaged to their worst.
     ``keep`` may hold the text: documents are only moved if there are too many sites to broadcast.
     """
-    good = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
+    # Labels grow with the documents; compressed they look small enough to broadcast, which they are not.
+    good = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good")).hint("merge")
     site = [F.coalesce(F.col(host).cast("string"), F.lit("\u0000")).alias("_host"), F.coalesce(F.col(path).cast("string"), F.lit("\u0000")).alias("_path")]
     measured = scratch(document_statistics(docs.select("doc_id", *site, "text"), keep=["doc_id", "_host", "_path"]), "quality")
     ratios, base = _evidence_model(measured.select("doc_id", "bins"), good)
