@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +54,30 @@ def held(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+#: Rows of one file of a table that is only written to cut the lineage.
+FILE_ROWS = 500_000
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``scratch`` in as few files as the rows need: a result of much work that has few rows."""
+    worked = held(df)
+    files = max(1, -(-worked.count() // FILE_ROWS))
+    return scratch(worked.coalesce(files), name)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives its memory back when its task ends, as workers live on for other tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the bounds of its rows (null: empty), without copying."""
     if column.null_count:

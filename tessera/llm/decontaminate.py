@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, runs, table, utf8
+from tessera.llm.common import bounded_batches, runs, table, tidy, utf8
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -291,7 +291,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str]
                     names=[*keep, "_text", "_n_words", "_spans", "_items"],
                 )
 
-        state = state.mapInArrow(scan, f"{kept}, _text string, {_STATE}")
+        state = state.mapInArrow(tidy(scan), f"{kept}, _text string, {_STATE}")
     return state.select(*keep, F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 
 
@@ -314,7 +314,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, batch.column("spans")], names=[*columns, "spans"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", spans array<struct<a:bigint,b:bigint>>"
-    left = found.select(*columns, "spans").mapInArrow(cut, schema).where((F.size("spans") == 0) | (F.trim("text") != ""))
+    left = found.select(*columns, "spans").mapInArrow(tidy(cut), schema).where((F.size("spans") == 0) | (F.trim("text") != ""))
     if "n_chars" in columns:
         left = left.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return left.select(*columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import bounded_batches, held, runs, scratch, table, utf8
+from tessera.llm.common import FILE_ROWS, bounded_batches, held, runs, scratch, settled, table, tidy, utf8
 
 SYMBOLS, CHUNK = 40, 4
 MAX_DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "sig", "keys", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, digest binary, sig binary, keys array<bigint>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(sign), "doc_id bigint, n_shingles bigint, digest binary, sig binary, keys array<bigint>, sketch binary")
 
 
 def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= MAX_DISTANCE))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(near, "a bigint, b bigint")
+    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(near), "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     # Rows of one hub lie together, so its set is built once a batch.
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(check), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,13 +159,15 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the least label of the neighbours and then that label's own label, so
     the rounds grow with the logarithm of a component's width.
     """
-    both = scratch(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "edges")
-    labels = scratch(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels")
+    files = max(1, -(-2 * edges.count() // FILE_ROWS))
+    cut = lambda df, name: scratch(df.coalesce(files), name)
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "edges")
+    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels")
     while True:
         told = both.join(labels.toDF("other", "told"), "other").groupBy("node").agg(F.min("told").alias("told"))
         heard = labels.join(told, "node").select("node", F.col("comp").alias("old"), F.least("comp", "told").alias("comp"))
         jump = heard.join(labels.toDF("comp", "root"), "comp").select("node", F.least("comp", "root").alias("comp"), "old")
-        state = scratch(jump, "labels")
+        state = cut(jump, "labels")
         labels = state.select("node", "comp")
         if state.where("comp <> old").isEmpty():
             return labels
@@ -228,7 +230,7 @@ def _rest(listed: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
         if held:
             yield from done(held)
 
-    return dealt.mapInArrow(compare, "b bigint, a bigint").select("a", "b").distinct()
+    return dealt.mapInArrow(tidy(compare), "b bigint, a bigint").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -242,18 +244,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     every = held(signatures(docs, width))
     classes = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = scratch(every.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", "rep"), "members")
-    signed = scratch(every.join(classes, "digest").where("doc_id = rep").select("rep", "n_shingles", "sig", "keys", "sketch").dropDuplicates(["rep"]), "classes")
+    members = held(every.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", "rep"))
+    signed = held(every.join(classes, "digest").where("doc_id = rep").select("rep", "n_shingles", "sig", "keys", "sketch").dropDuplicates(["rep"]))
     posted = signed.select(F.explode("keys").alias("key"), "rep")
     hubs = posted.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
-    listed = scratch(posted.join(hubs, "key"), "listed")
+    listed = held(posted.join(hubs, "key"))
     stars = listed.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    tried = scratch(_close(stars, signed), "tried")
-    first = scratch(_confirmed(tried, docs, width, percent), "links")
+    tried = settled(_close(stars, signed), "tried")
+    first = settled(_confirmed(tried, docs, width, percent), "links")
     labels = components(first)
-    rest = scratch(_rest(listed.select("key", "rep"), labels, signed).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = settled(_rest(listed.select("key", "rep"), labels, signed).join(tried, ["a", "b"], "left_anti"), "rest")
     second = _confirmed(rest, docs, width, percent)
-    links = scratch(first.unionByName(second), "links")
+    links = settled(first.unionByName(second), "links")
     found = components(links)
     out = members.join(found.toDF("rep", "comp"), "rep", "left")
     component = F.coalesce("comp", "rep", "doc_id")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import bounded_batches, runs, scratch, table, utf8
+from tessera.llm.common import bounded_batches, runs, scratch, table, tidy, utf8
 
 RUN_BYTES = 1 << 20
 BINS = 12
@@ -84,7 +84,7 @@ def document_statistics(docs: DataFrame, *, keep: list[str]) -> DataFrame:
             bins = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(STATISTICS)), flat)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), bins], names=[*keep, "bins"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(measure, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(tidy(measure), schema)
 
 
 def _logit(p: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, runs, table, utf8
+from tessera.llm.common import bounded_batches, runs, table, tidy, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
@@ -227,8 +227,8 @@ class Lattices:
 
 
 @cache
-def _lattices(model: str, alpha: float) -> Lattices:
-    return Lattices(Vocabulary(model, alpha))
+def _vocabulary(model: str, alpha: float) -> Vocabulary:
+    return Vocabulary(model, alpha)
 
 
 def _encode(lat: Lattices, texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ def encode(docs: DataFrame, key: Column, *, keep: list[str], model: str = MODEL,
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + ", ids array<int>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = _lattices(model, alpha)
+        lat = Lattices(_vocabulary(model, alpha))
         for batch in batches:
             texts = batch.column("_text")
             keys = batch.column("_key").to_numpy().view(np.uint64)
@@ -269,7 +269,7 @@ def encode(docs: DataFrame, key: Column, *, keep: list[str], model: str = MODEL,
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=texts.slice(i, j - i).is_null())
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in keep), lists], names=[*keep, "ids"])
 
-    return docs.select(*keep, F.xxhash64(key, F.lit(seed)).alias("_key"), F.col("text").alias("_text")).mapInArrow(cut, schema)
+    return docs.select(*keep, F.xxhash64(key, F.lit(seed)).alias("_key"), F.col("text").alias("_text")).mapInArrow(tidy(cut), schema)
 
 
 def _decode(pieces: list[bytes], ids: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -286,7 +286,7 @@ def decode(encoded: DataFrame, *, keep: list[str], model: str = MODEL) -> DataFr
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.select(*keep).dtypes) + ", text string"
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _lattices(model, ALPHA).v.pieces
+        pieces = _vocabulary(model, ALPHA).pieces
         for batch in batches:
             column = batch.column("_ids")
             offsets = column.offsets.to_numpy()
@@ -294,7 +294,7 @@ def decode(encoded: DataFrame, *, keep: list[str], model: str = MODEL) -> DataFr
             out = pa.array([t.decode() if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), out], names=[*keep, "text"])
 
-    return encoded.select(*keep, F.col("ids").alias("_ids")).mapInArrow(join, schema)
+    return encoded.select(*keep, F.col("ids").alias("_ids")).mapInArrow(tidy(join), schema)
 
 
 def round_trip(docs: DataFrame, *, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -306,7 +306,7 @@ def round_trip(docs: DataFrame, *, key: str = "doc_id", model: str = MODEL, alph
     kind = docs.select(key).dtypes[0][1]
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = _lattices(model, alpha)
+        lat = Lattices(_vocabulary(model, alpha))
         for batch in batches:
             column = batch.column("_text")
             keys = batch.column("_key").to_numpy().view(np.uint64)
@@ -325,7 +325,7 @@ def round_trip(docs: DataFrame, *, key: str = "doc_id", model: str = MODEL, alph
                 )
 
     schema = f"`{key}` {kind}, ids array<int>, n_pieces bigint, n_bytes bigint, lossless boolean"
-    return docs.select(key, F.xxhash64(F.col(key), F.lit(seed)).alias("_key"), F.col("text").alias("_text")).mapInArrow(both, schema)
+    return docs.select(key, F.xxhash64(F.col(key), F.lit(seed)).alias("_key"), F.col("text").alias("_text")).mapInArrow(tidy(both), schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import bounded_batches, runs, scratch, table, utf8
+from tessera.llm.common import bounded_batches, runs, scratch, table, tidy, utf8
 
 LENGTH = 50
 GRAM = 24
@@ -170,7 +170,7 @@ def _survey(docs: DataFrame, buckets: int) -> DataFrame:
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "kind", "first", "h", "unit", "steps", "size"])
 
-    return docs.mapInArrow(mark, _DEALT)
+    return docs.mapInArrow(tidy(mark), _DEALT)
 
 
 def _groups(key: np.ndarray) -> np.ndarray:
@@ -256,7 +256,7 @@ def _segments(docs: DataFrame, buckets: int) -> DataFrame:
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "doc_id", "print", "begin", "anchor", "lead", "bytes"])
 
-    return docs.mapInArrow(cut, "bucket int, doc_id bigint, print bigint, begin bigint, anchor bigint, lead int, bytes binary")
+    return docs.mapInArrow(tidy(cut), "bucket int, doc_id bigint, print bigint, begin bigint, anchor bigint, lead int, bytes binary")
 
 
 def difference_cover_order(s: np.ndarray) -> np.ndarray:
@@ -464,7 +464,7 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], whole_characters: bool =
                 names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return marked.mapInArrow(cut, schema)
+    return marked.mapInArrow(tidy(cut), schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
