@@ -2,32 +2,43 @@
 
 Documents that pass the counted rules are judged by the mean log ratio of their hashed
 word unigrams and bigrams between a trusted-target multinomial and the raw-corpus
-multinomial; those under a fixed threshold are dropped. Everything runs as
-DataFrame expressions: the corpus counts are one map-side combined aggregate over all
-documents, the model is an array of ``buckets`` doubles (its size is a parameter,
-not a function of the data), and each document is scored where it lies.
+multinomial. Everything runs as DataFrame expressions: the corpus counts are one
+map-side combined aggregate over all documents, with one bucket per ``BUCKET_BYTES`` of
+text, so that as many n-grams share a bucket at every size. Up to ``ARRAY_BUCKETS`` the
+model is an array and each document is scored where it lies; a larger one is joined by bucket.
+
+The threshold is the cut that judges the fewest labelled documents wrong, in the middle of
+the gap it falls in. A trusted document's own n-grams do not count for it there (each as if
+it stood once in its bucket), as unlabelled documents are not in the target either.
 
 Words are runs of characters other than ASCII white space. A null or blank text has no
 words, so it fails the base rule. Windows and n-grams are compared by 64-bit hashes.
-Repeated rows each keep a result row; without labelled rows the ratio is neutral.
+Repeated rows each keep a result row; without trusted rows the ratio is neutral.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import held, table
 
+#: Column that marks the documents of the target.
+TARGET = "tessera_target"
 BLANKS = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Hash buckets of the two multinomials.
-BUCKETS = 1 << 16
-#: Trusted labelled documents the target multinomial is fitted on, at most.
-TARGET_ROWS = 20_000
-#: Mean log ratio a kept document has at least.
-THRESHOLD = -0.2
+#: Bytes of text a hash bucket of the two multinomials stands for, and the fewest buckets.
+BUCKET_BYTES = 512
+LEAST_BUCKETS = 1 << 16
+#: Buckets of a model that is sent to the executors as an array; more are joined.
+ARRAY_BUCKETS = 1 << 22
+#: Trusted doc_ids that are sent to the executors (some 30 bytes each); more are joined by sorting, which moves the texts.
+SENT_IDS = 5_000_000
+#: Buckets gathered into one row before the array is put together.
+CHUNK = 1 << 10
+#: Decimals of the ratios between which the threshold is searched.
+CUT_DECIMALS = 3
 
 
 def words_of(text: Column) -> Column:
@@ -35,10 +46,17 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def _grams(hashes: Column) -> Column:
+def buckets_for(docs: DataFrame) -> int:
+    """A power of two that grows with the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(LEAST_BUCKETS, 1 << (-(-size // BUCKET_BYTES) - 1).bit_length())
+
+
+def _grams(hashes: Column, buckets: int) -> Column:
     """Buckets of the unigrams, then of the bigrams."""
-    ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    twos = F.transform(hashes, lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(BUCKETS)).cast("int"))
+    kind = "int" if buckets <= 1 << 31 else "bigint"
+    ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast(kind))
+    twos = F.transform(hashes, lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(buckets)).cast(kind))
     return F.concat(ones, F.slice(twos, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))
 
 
@@ -75,40 +93,116 @@ def base_counts(docs: DataFrame, *, keep: list[str]) -> DataFrame:
     return out.withColumn("base_failed", failed).drop("windows", "repeats", "ordered", "at")
 
 
-def ratio_model(docs: DataFrame, trusted: DataFrame, *, target_rows: int = TARGET_ROWS) -> DataFrame:
-    """One row ``ratios``: array<double> of ln(p_target / p_raw) per bucket, add-one smoothed.
+def _marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """With ``TARGET`` 1 in the rows of trusted documents."""
+    chosen = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn(TARGET, F.lit(1))
+    return docs.join(F.broadcast(chosen) if chosen.count() <= SENT_IDS else chosen, "doc_id", "left")
 
-    ``trusted`` has column doc_id. Raw counts take every document; the target is fitted on
-    at most ``target_rows`` trusted documents, those of least hash, which bounds the broadcast.
-    """
-    chosen = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
-    flagged = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumn("target", F.lit(1))), "doc_id", "left")
+
+def gram_counts(marked: DataFrame, buckets: int) -> DataFrame:
+    """bucket, raw and target counts of every bucket that occurs: over all documents, and over all trusted ones."""
+    flagged = marked.select(F.col(TARGET).alias("target"), "text")
     hashed = flagged.select("target", words_of(F.col("text")).alias("words")).select("target", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    counts = (
-        hashed.select("target", F.explode(_grams(F.col("hashes"))).alias("bucket"))
+    return (
+        hashed.select("target", F.explode(_grams(F.col("hashes"), buckets)).alias("bucket"))
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target"))
     )
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
-    summed = every.agg(
-        F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("cells"), F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")
-    )
-    ratio = lambda c: F.log((c["target"] + 1) / (F.col("all_target") + BUCKETS)) - F.log((c["raw"] + 1) / (F.col("all_raw") + BUCKETS))
-    return summed.select(F.transform("cells", ratio).alias("ratios"))
 
 
-def judge_quality(docs: DataFrame, trusted: DataFrame, *, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """``keep`` columns, the counted rules, mean log ratio and the verdict of every document."""
-    counted = base_counts(docs, keep=keep)
-    ratios = ratio_model(docs, trusted)
-    scored = counted.withColumn("grams", _grams(F.col("hashes"))).withColumn("ratios", ratios.scalar())
-    total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get("ratios", b))
-    scored = scored.withColumn("log_ratio", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0)))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold)).drop("hashes", "grams", "ratios")
+def _ratio() -> Column:
+    return F.log((F.col("target") + 1) / (F.col("raw") + 1))
+
+
+def _loss() -> Column:
+    """What the ratio loses when one n-gram less is in the target."""
+    return F.log((F.col("target") + 1) / F.greatest("target", F.lit(1)))
+
+
+def _means_by_array(counted: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    spark = counted.sparkSession
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
+    cell = F.struct("bucket", _ratio().alias("ratio"), _loss().cast("float").alias("loss"))
+    cells = every.groupBy(F.floor(F.col("bucket") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    chunks = cells.select(F.struct("chunk", F.col("cells.ratio").alias("ratio"), F.col("cells.loss").alias("loss")).alias("c"))
+    whole = chunks.agg(F.sort_array(F.collect_list("c")).alias("c"))
+    model = held(whole.select(F.flatten("c.ratio").alias("ratios"), F.flatten("c.loss").alias("losses")))
+    # Each of the two arrays is used once, in the projection above its own: so the optimizer puts it where it
+    # is read, and no row gets a copy. A column that is made here and used twice would prevent that.
+    scored = counted.withColumn("ratios", model.select("ratios").scalar()).withColumn("losses", model.select("losses").scalar())
+    n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
+    mean = lambda name: F.aggregate(_grams(F.col("hashes"), buckets), F.lit(0.0), lambda s, b: s + F.get(name, b)) / F.when(n_grams > 0, n_grams)
+    means = {"mean_ratio": mean("ratios"), "mean_loss": F.when(F.col(TARGET) == 1, mean("losses")), "n_grams": n_grams}
+    return scored.withColumns(means).drop("hashes", "ratios", "losses")
+
+
+def _means_by_join(counted: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """As by array. Rows with equal words share a key and a mean, so their n-grams may be summed together."""
+    keyed = counted.withColumn("key", F.struct(F.xxhash64("hashes").alias("a"), F.xxhash64(F.lit(1), "hashes").alias("b")))
+    cells = counts.select("bucket", _ratio().alias("ratio"), _loss().cast("float").alias("loss"))
+    grams = keyed.select("key", F.explode(_grams(F.col("hashes"), buckets)).alias("bucket"))
+    means = grams.join(cells, "bucket").groupBy("key").agg(F.avg("ratio").alias("mean_ratio"), F.avg("loss").alias("mean_loss"))
+    n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
+    return keyed.withColumn("n_grams", n_grams).drop("hashes").join(means, "key", "left").drop("key")
+
+
+def score_quality(docs: DataFrame, trusted: DataFrame, *, keep: list[str], buckets: int | None = None, array_buckets: int = ARRAY_BUCKETS) -> DataFrame:
+    """``keep`` columns, the counted rules, the mean log ratio and, of a trusted document, the mean without its own n-grams in the target.
+
+    ``trusted`` has column doc_id. Raw counts take every document, the target every trusted one.
+    """
+    buckets = buckets or buckets_for(docs)
+    marked = _marked(docs, trusted)
+    counts = held(gram_counts(marked, buckets))
+    sums = held(counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")))
+    means = _means_by_array if buckets <= array_buckets else _means_by_join
+    scored = means(base_counts(marked, keep=[*keep, TARGET]), counts, buckets)
+    raw, target = sums.select("raw").scalar(), sums.select("target").scalar()
+    ratio = F.col("mean_ratio") + F.log(raw + F.lit(buckets)) - F.log(target + F.lit(buckets))
+    others = F.greatest(target - F.col("n_grams"), F.lit(0))
+    without = F.col("mean_ratio") - F.col("mean_loss") + F.log(raw + F.lit(buckets)) - F.log(others + F.lit(buckets))
+    neutral = (target == 0) | F.col("mean_ratio").isNull()
+    scored = scored.withColumn("log_ratio", F.when(neutral, F.lit(0.0)).otherwise(ratio))
+    scored = scored.withColumn("ratio_without", F.when(F.col(TARGET) == 1, F.when(neutral, F.lit(0.0)).otherwise(without)))
+    return scored.drop("mean_ratio", "mean_loss", "n_grams", TARGET)
+
+
+def threshold_of(ratios: DataFrame) -> DataFrame:
+    """One row ``threshold``, null without rows, from ``ratios`` (ratio, good).
+
+    Rows are counted by rounded ratio, so that one task meets as many rows as there are values between the extremes.
+    """
+    bins = ratios.groupBy(F.round("ratio", CUT_DECIMALS).alias("v")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    before, upward = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("v")
+    wrong = F.coalesce(F.sum("good").over(before), F.lit(0)) - F.coalesce(F.sum("bad").over(before), F.lit(0))
+    cuts = bins.select("v", wrong.alias("wrong"), ((F.col("v") + F.coalesce(F.lag("v").over(upward), F.col("v"))) / 2).alias("cut"))
+    # Where dropping all is best, the cut lies above every row.
+    above = bins.agg((F.sum("good") - F.sum("bad")).alias("wrong"), (F.max("v") + 10**-CUT_DECIMALS).alias("cut")).where("cut IS NOT NULL")
+    return cuts.select("wrong", "cut").unionByName(above).agg(F.min_by("cut", F.struct("wrong", "cut")).alias("threshold"))
+
+
+def judge_quality(docs: DataFrame, trusted: DataFrame, *, keep: list[str], distrusted: DataFrame | None = None, threshold: float | None = None, **kwargs) -> DataFrame:
+    """``keep`` columns, the counted rules, mean log ratio and the verdict of every document.
+
+    Without ``threshold`` it is set between the ``trusted`` and the ``distrusted`` documents (doc_id; one
+    in both is trusted) that pass the counted rules; without the latter it is the trusted ones' least ratio.
+    """
+    own = "tessera_doc_id"
+    scored = held(score_quality(docs.withColumn(own, F.col("doc_id")), trusted, keep=[*keep, own], **kwargs))
+    cut = F.lit(threshold)
+    if threshold is None:
+        marks = trusted.select("doc_id", F.lit(True).alias("good"))
+        if distrusted is not None:
+            marks = marks.unionByName(distrusted.select("doc_id", F.lit(False).alias("good")))
+        marks = marks.groupBy(F.col("doc_id").alias(own)).agg(F.max("good").alias("good"))
+        found = scored.where("NOT base_failed").select(own, "log_ratio", "ratio_without").join(marks, own)
+        cut = F.coalesce(threshold_of(found.select("good", F.coalesce("ratio_without", "log_ratio").alias("ratio"))).scalar(), F.lit(0.0))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= cut)).drop(own, "ratio_without")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return judge_quality(docs, trusted, keep=["doc_id"]).select(
+    labels = table(spark, sf_dir, "labels")
+    trusted, distrusted = labels.where("quality = 1").select("doc_id"), labels.where("quality = 0").select("doc_id")
+    return judge_quality(docs, trusted, keep=["doc_id"], distrusted=distrusted).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_ratio", 6).alias("log_ratio")
     )

@@ -89,6 +89,33 @@ def test_ratio_prefers_the_target(labelled):
     assert mean[1] > mean[0] + 0.3
 
 
+def test_quality_threshold_lies_between_the_labels(spark, tmp_path):
+    """Bad documents that differ from good ones in a few words, and the same ones in a corpus with many rare words."""
+    rng = random.Random(6)
+    spoil = lambda words: [w if i % 5 else rng.choice(["%%x", "&&y"]) for i, w in enumerate(words)]
+    small = [(i, " ".join(spoil(prose(rng, 90).split()) if i % 4 == 0 else prose(rng, 90).split())) for i in range(160)]
+    rare = [(1000 + i, " ".join(f"{w} r{rng.randrange(10**6)}" for w in prose(rng, 300).split())) for i in range(600)]
+    labels = [(i, int(i % 4 != 0), 0) for i, _ in small if i % 8 < 6]
+    for name, rows in (("a", small), ("b", small + rare)):
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = {r["doc_id"]: r["kept"] for r in quality_rules.op4_quality_rules(spark, f"{tmp_path}/{name}").collect()}
+        assert [i for i, _ in small if kept[i] != (i % 4 != 0)] == [], name
+
+
+def test_quality_model_follows_the_corpus(spark, labelled):
+    docs = labelled.where("doc_id < 300").select("doc_id", "text")
+    assert quality_rules.buckets_for(docs.limit(0)) == quality_rules.LEAST_BUCKETS
+    longer = spark.range(100).select(F.repeat(F.lit("x"), 2_000_000).alias("text"))
+    assert quality_rules.buckets_for(longer) >= 4 * quality_rules.LEAST_BUCKETS
+    trusted = labelled.where("quality = 1").select("doc_id")
+    by = [quality_rules.score_quality(labelled.select("doc_id", "text"), trusted, keep=["doc_id"], array_buckets=n) for n in (0, 1 << 22)]
+    joined, array = ([sorted((r["doc_id"], r["n_words"], round(r["log_ratio"], 9), round(r["ratio_without"] or 0.0, 9)) for r in x.collect()) for x in by])
+    assert joined == array and len(array) == labelled.count()
+    nothing = quality_rules.judge_quality(docs, trusted.limit(0), keep=["doc_id"])
+    assert nothing.where("log_ratio <> 0 OR kept = base_failed").count() == 0
+
+
 TONGUES = {"aa": "abra kadab ramak lota ", "bb": "xyzzy plugh quux fnord ", "cc": "ñandú señor mañana óleo "}
 
 
