@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch handed to a Python worker. Documents may be long, so
-#: the default of 10,000 rows would not bound a worker's memory well.
+#: Rows and bytes of one Arrow batch handed to a Python worker. Documents may be long, so
+#: the defaults of 10,000 rows and 64 MB would not bound a worker's memory well.
 ARROW_ROWS = 2000
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for workers that hold a few hundred MB."""
+    """Keep Arrow batches small enough for workers that hold a few hundred MB.
+
+    Plans read these settings when they run, after the operator has returned, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    sc.setCheckpointDir("/tmp/tessera-checkpoints")  # only where none is set, as in tests
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir("/tmp/tessera-checkpoints")  # one machine, as in tests
     return "/tmp/tessera-checkpoints"
 
 
@@ -49,9 +58,62 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """Keep ``df`` on the executors' disks for use in several places. What a lost executor held is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+def held(df: DataFrame, shelf: list[DataFrame] | None = None) -> DataFrame:
+    """Keep ``df`` on the executors' disks for use in several places. What a lost executor held is computed again.
+    ``shelf`` lists what the caller gives up with ``unpersist`` when its result is written."""
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    if shelf is not None:
+        shelf.append(kept)
+    return kept
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+#: The column in which operators carry what the caller keeps; its fields can have any names.
+ROW = "tessera_row"
+
+
+def pack(keep: list[str]) -> Column:
+    return F.struct(*[F.col(f"`{n.replace('`', '``')}`").alias(n) for n in keep]).alias(ROW)
+
+
+def with_row(packed: DataFrame, results: str) -> StructType:
+    """The schema of ``ROW`` and the columns of ``results``."""
+    return StructType([packed.schema[ROW], *StructType.fromDDL(results).fields])
+
+
+def unpack(keep: list[str], results: list[str]) -> list[Column]:
+    """The kept columns again, then the results; a kept column that is called as a result gives way to it."""
+    mine = {r.lower() for r in results}
+    return [*(F.col(ROW).getField(n).alias(n) for n in keep if n.lower() not in mine), *(F.col(r) for r in results)]
+
+
+def rewritten(docs: DataFrame, text: Column, changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``ROW``, with ``text`` for its text; n_chars, if there, follows a text that has ``changed``."""
+    kinds = dict(docs.dtypes)
+    of = {"text": text}
+    if "n_chars" in kinds:
+        of["n_chars"] = F.when(changed, F.length(text).cast(kinds["n_chars"])).otherwise(F.col(ROW).getField("n_chars"))
+    return [of.get(n, F.col(ROW).getField(n)).alias(n) for n in docs.columns]
+
+
+def row_key() -> Column:
+    """A text that equals for rows of equal doc_id and text only (the text by 128 bits of hash and its length)."""
+    text = F.col("text")
+    parts = [F.col("doc_id").cast("string"), F.xxhash64(text).cast("string"), F.xxhash64(F.lit(1), text).cast("string"), F.octet_length(text).cast("string")]
+    return F.concat_ws("|", *[F.coalesce(p, F.lit("null")) for p in parts])
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in the column ``key`` of ``keys``; columns may have any names."""
+    own = fresh("tessera_key", docs.columns)
+    return docs.withColumn(own, row_key()).join(keys.select(F.col("key").alias(own)), own, "left_anti").select(*docs.columns)
 
 
 #: Rows of one file of a table that is only written to cut the lineage.
@@ -62,7 +124,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """``scratch`` in as few files as the rows need: a result of much work that has few rows."""
     worked = held(df)
     files = max(1, -(-worked.count() // FILE_ROWS))
-    return scratch(worked.coalesce(files), name)
+    written = scratch(worked.coalesce(files), name)
+    worked.unpersist()
+    return written
 
 
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -7,13 +7,15 @@ sequence is a suffix array's Burrows-Wheeler transform in a wavelet matrix; all
 searched backwards at once through its ranks, occurrences are located by walking to sampled
 suffix positions, and located spans are merged per document.
 
-The benchmark is a stated query set. It is read in blocks of ``BLOCK_BYTES``; documents pass
-by each block in turn where they lie, so no document text is shuffled.
+The benchmark is a stated query set. It is read in blocks of ``BLOCK_BYTES``, each sent as flat arrays;
+a task takes its documents some MB at a time past one block after the other, so that it holds one block at once and
+no document is moved. A text longer than a shard is read in pieces that share ``WINDOW`` - 1 words.
 
 Words: A-Z lower-cased, runs of characters other than ``\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F``. A window
 is WINDOW consecutive words of an item, or the whole of a shorter item. Null or wordless
-texts have no hits, null or wordless items no windows; a null item_id counts as ''.
-Repeated documents each keep a row; only doc_id, text (and ``keep``) are read.
+texts have no hits, null or wordless items no windows; a null item_id counts as ''. Items that share a window,
+or an item_id, all count. Repeated documents each keep a row; an empty table gives no rows, an empty benchmark no hits. Only
+doc_id, text (and ``keep``) are read; a kept column that is called as a result gives way to it.
 """
 
 from __future__ import annotations
@@ -24,15 +26,21 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, runs, table, tidy, utf8
+from tessera.llm.common import ROW, bounded_batches, pack, rewritten, runs, table, tidy, unpack, utf8, with_row
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 #: Text of the benchmark that one pass holds.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Documents that pass by the blocks together, where there are several.
+CHUNK_BYTES = 16 << 20
+#: Windows that are searched together.
+SEARCHED = 1 << 16
 #: One suffix position in so many is stored.
 SAMPLE = 8
 
@@ -138,25 +146,37 @@ class FMIndex:
 
 
 class Windows:
-    """The windows of one block of benchmark items, as numbers of their vocabulary."""
+    """The windows of one block of benchmark items, as places in the numbers of its words."""
 
     def __init__(self, items: list[tuple[str, bytes]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, raw in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(raw)]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for size in sorted({len(w) for w in owners}):
-            same = [w for w in owners if len(w) == size]
-            self.by_length[size] = np.array(same, np.int64), [sorted(owners[w]) for w in same]
+        self.items = [item for item, _ in items]
+        numbers = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(raw)], np.int32) for _, raw in items]
+        sizes = np.array([len(x) for x in numbers], np.int64)
+        self.ids = np.concatenate([*numbers, np.empty(0, np.int32)])
+        first = np.cumsum(sizes) - sizes
+        #: By a window's length: where its words begin, and the item.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(sizes[sizes > 0], width)).tolist():
+            own = np.nonzero((sizes == size) | ((sizes > width) & (size == width)))[0]
+            each = sizes[own] - size + 1
+            start = np.repeat(first[own], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            self.by_length[size] = start, np.repeat(own, each).astype(np.int32)
         self.base = len(self.vocabulary) + 1
-        pairs = [p[:, k] * self.base + p[:, k + 1] for p, _ in self.by_length.values() for k in range(p.shape[1] - 1)]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        ends = np.cumsum(sizes)
+        inner = np.ones(max(len(self.ids) - 1, 0), bool)
+        inner[(ends[(ends > 0) & (ends < len(self.ids))] - 1)] = False
+        wide = self.ids.astype(np.int64)
+        self.pairs = np.unique((wide[:-1] * self.base + wide[1:])[inner])
         self.alone = np.zeros(self.base, bool)
         if 1 in self.by_length:
-            self.alone[self.by_length[1][0][:, 0]] = True
+            self.alone[self.ids[self.by_length[1][0]]] = True
+
+    def searched(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, words and item of all windows, some at a time."""
+        for size, (start, item) in self.by_length.items():
+            for k in range(0, len(start), SEARCHED):
+                yield size, self.ids[start[k : k + SEARCHED, None] + np.arange(size)].astype(np.int64), item[k : k + SEARCHED]
 
 
 def _stretches(ids: np.ndarray, doc: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
@@ -209,15 +229,16 @@ def find_hits(texts: list[bytes], w: Windows) -> tuple[list[int], dict[int, list
         return sizes, spans, items
     index = FMIndex(seq)
     starts, lengths = [], []
-    for size, (patterns, owners) in w.by_length.items():
+    for size, patterns, owner in w.searched():
         low, high = index.search(patterns)
         found = np.nonzero(high > low)[0]
-        for f in found:
-            at = back[index.locate(np.arange(low[f], high[f]))]
-            starts.append(at)
-            lengths.append(np.full(len(at), size))
-            for d in np.unique(doc[at]):
-                items.setdefault(int(d), set()).update(owners[f])
+        times = high[found] - low[found]
+        rows = np.repeat(low[found], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        at = back[index.locate(rows)]
+        starts.append(at)
+        lengths.append(np.full(len(at), size))
+        for d, item in np.unique(np.stack([doc[at], np.repeat(owner[found], times)], 1), axis=0).tolist():
+            items.setdefault(d, set()).add(w.items[item])
     if starts:
         first = np.concatenate([[0], np.cumsum(sizes)])
         change = np.zeros(len(words) + 1, np.int64)
@@ -246,78 +267,139 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _whole(raw: bytes, w: Windows, width: int) -> tuple[int, list[tuple[int, int]], set[str]]:
+    """``find_hits`` of one text of any length."""
+    n, spans, items = 0, [], set()
+    carry: list[bytes] = []
+    a = 0
+    while a < len(raw) or not a:
+        b = min(a + SHARD_BYTES, len(raw))
+        while b < len(raw) and _FOLD[raw[b]] != 32:
+            b += 1
+        sizes, new, named = find_hits([b" ".join([*carry, raw[a:b]])], w)
+        shift = n - len(carry)
+        spans += [(x + shift, y + shift) for x, y in new.get(0, [])]
+        items |= named.get(0, set())
+        n += sizes[0] - len(carry)
+        carry = [*carry, *_last_words(raw[a:b], width - 1)][-(width - 1) :] if width > 1 else []
+        a = max(b, 1)
+    return n, _merged(spans), items
+
+
+def _last_words(raw: bytes, n: int) -> list[bytes]:
+    size = 1 << 12
+    while size < len(raw):
+        words = words_of(raw[-size:])
+        if len(words) > n:  # the first may be cut
+            return words[-n:] if n else []
+        size *= 4
+    return words_of(raw)[-n:] if n else []
+
+
 def _byte_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    at = [m.span() for m in _KEPT.finditer(raw.translate(_FOLD))]
-    return [(at[a][0], at[b - 1][1]) for a, b in spans]
+    """Where runs of words [a, b), in order, stand in a text."""
+    out = []
+    every = enumerate(_KEPT.finditer(raw.translate(_FOLD)))
+    for a, b in spans:
+        begin = end = 0
+        for k, m in every:
+            if k == a:
+                begin = m.start()
+            if k == b - 1:
+                end = m.end()
+                break
+        out.append((begin, end))
+    return out
 
 
-_STATE = "_n_words bigint, _spans array<struct<a:bigint,b:bigint>>, _items array<string>"
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> list[Broadcast]:
+    """The benchmark's windows, a block after the other: the driver, too, holds one at once."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    part = lambda k: items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+    return [benchmark.sparkSession.sparkContext.broadcast(Windows([(r["item"], r["text"].encode()) for r in part(k).toLocalIterator()], width)) for k in range(n)]
+
+
+def _shown(blocks: list[Broadcast]) -> Iterator[Windows]:
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1 and getattr(block, "_path", None):
+            block.__dict__.pop("_value", None)  # read again from the worker's disk when the next documents come
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns with n_words, spans (merged runs of hit words, [a, b)) and items (sorted) of every document.
 
     ``keep`` may include text. Documents are not moved.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    own = docs.select(*keep)
-    kept = ", ".join(f"`{n}` {t}" for n, t in own.dtypes)
-    state = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.lit(0).cast("bigint").alias("_n_words"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        windows = spark.sparkContext.broadcast(Windows([(r["item"], r["text"].encode()) for r in part.collect()], width))
-
-        def scan(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raw, bounds = utf8(batch.column("_text"))
-                data = raw.tobytes()
-                sizes: list[int] = []
-                spans, found = batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()
-                for i, j in runs(bounds, SHARD_BYTES):
-                    n, new, named = find_hits([data[bounds[k] : bounds[k + 1]] for k in range(i, j)], windows.value)
-                    sizes += n
-                    for k, more in new.items():
-                        spans[i + k] = _merged([(s["a"], s["b"]) if isinstance(s, dict) else s for s in spans[i + k]] + more)
-                    for k, more in named.items():
-                        found[i + k] = sorted({*found[i + k], *more})
-                spans = [[s if isinstance(s, dict) else {"a": s[0], "b": s[1]} for s in row] for row in spans]
+    bounded_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, width, block_bytes)
+    packed = docs.select(pack(keep), F.coalesce("text", F.lit("")).alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, CHUNK_BYTES if len(blocks) > 1 else 0):
+            state = [([0] * b.num_rows, [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]) for b in chunk]
+            for w in _shown(blocks):
+                for batch, (sizes, spans, items) in zip(chunk, state, strict=True):
+                    raw, bounds = utf8(batch.column("text"))
+                    for i, j in runs(bounds, SHARD_BYTES):
+                        if j == i + 1 and bounds[j] - bounds[i] > SHARD_BYTES:
+                            n, more, named = _whole(raw[bounds[i] : bounds[j]].tobytes(), w, width)
+                            ns, new, found = [n], {0: more}, {0: named}
+                        else:
+                            ns, new, found = find_hits([raw[bounds[k] : bounds[k + 1]].tobytes() for k in range(i, j)], w)
+                        sizes[i:j] = ns
+                        for k, more in new.items():
+                            spans[i + k] = _merged(spans[i + k] + more)
+                        for k, more in found.items():
+                            items[i + k] |= more
+            for batch, (sizes, spans, items) in zip(chunk, state, strict=True):
+                rows = [[{"a": a, "b": b} for a, b in row] for row in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(n) for n in [*keep, "_text"]), pa.array(sizes, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))],
-                    names=[*keep, "_text", "_n_words", "_spans", "_items"],
+                    [batch.column(ROW), pa.array(sizes, pa.int64()), pa.array(rows, _SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    names=[ROW, "n_words", "spans", "items"],
                 )
 
-        state = state.mapInArrow(tidy(scan), f"{kept}, _text string, {_STATE}")
-    return state.select(*keep, F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+    results = "n_words bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>"
+    return packed.mapInArrow(tidy(scan), with_row(packed, results)).select(*unpack(keep, ["n_words", "spans", "items"]))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, their columns as they were, without the hit words and what stands between
     those of one span. A document of which nothing but blanks is left is dropped; n_chars, if there, follows the text."""
     columns = docs.columns
-    found = find_contamination(docs, benchmark, keep=columns)
+    found = find_contamination(docs.select(pack(columns), "text"), benchmark, keep=[ROW, "text"])
+    found = found.select(F.col(ROW), "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-            for k, row in enumerate(spans):
-                if row:
-                    raw = texts[k].encode()
-                    for a, b in reversed(_byte_spans(raw, [(s["a"], s["b"]) for s in row])):
-                        raw = raw[:a] + raw[b:]
-                    texts[k] = raw.decode()
-            arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column("spans")], names=[*columns, "spans"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", spans array<struct<a:bigint,b:bigint>>"
-    left = found.select(*columns, "spans").mapInArrow(tidy(cut), schema).where((F.size("spans") == 0) | (F.trim("text") != ""))
-    if "n_chars" in columns:
-        left = left.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return left.select(*columns)
+            texts = batch.column("text").to_pylist()
+            spans = batch.column("spans")
+            for k in np.nonzero(pc.list_value_length(spans).to_numpy(zero_copy_only=False))[0].tolist():
+                raw, at, parts = texts[k].encode(), 0, []
+                for a, b in _byte_spans(raw, [(s["a"], s["b"]) for s in spans[k].as_py()]):
+                    parts.append(raw[at:a])
+                    at = b
+                texts[k] = (b"".join(parts) + raw[at:]).decode()
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(texts, pa.string()), pc.greater(pc.list_value_length(spans), 0)], names=[ROW, "text", "cut"])
+
+    left = found.mapInArrow(tidy(cut), with_row(found, "text string, cut boolean")).where(~F.col("cut") | (F.trim("text") != ""))
+    return left.select(*rewritten(docs, F.col("text"), F.col("cut")))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,21 @@ error, so each chunk is posted four times, once with each symbol left out. Pairs
 distance threshold thus always share a posting. (At a similarity of 0.8 a pair lies over it
 about twice in 100,000.) Every link is confirmed on the full shingle sets.
 
-Documents of equal sets form a class that takes part once. A posting list is never paired with
-itself: each member is first compared with the list's smallest, confirmed links are
+Documents of equal sets form a class that takes part once, whatever their ids. A posting list is
+never paired with itself: each member is first compared with the list's smallest, confirmed links are
 joined into components, and only members outside a list's largest component are
-then compared with the rest of it, by signatures and larger sketches. A pair that is left out
-is linked already or out of reach, so no component is lost.
-
-Components come from distributed min-label propagation with pointer jumping. Null, empty
-and blank texts have an empty set and are linked with nothing. Repeated doc_ids are one node; rows
-without a doc_id keep a row, linked only by an equal set. Only doc_id and text are read.
+then compared with the rest of it, by signatures and larger sketches. Lists in which that is much work
+are dealt out anew by two symbols of another chunk, which loses no pair: of at most
+``MAX_DISTANCE`` errors, one of the other chunks has two at most. A pair that is left out
+is linked already or out of reach, so no component is lost (sketches: but for five deviations).
+
+Words are compared as 64-bit hashes chained over all their bytes; a link between different sets of up to ``EXACT_WORDS``
+words is confirmed on the words themselves, and the class of a set of few shingles is a digest of its words.
+
+Components come from distributed min-label propagation with pointer jumping; rows that repeat a doc_id
+are one node, with all their texts. Null, empty and blank texts have an empty set and are linked with nothing. Rows
+without a doc_id keep a row, linked only by an equal set. Very long texts are hashed in pieces, as a
+whole. An empty table gives no rows. Only doc_id and text (and ``keep``) are read.
 """
 
 from __future__ import annotations
@@ -33,11 +39,19 @@ from tessera.llm.common import FILE_ROWS, bounded_batches, held, runs, scratch,
 
 SYMBOLS, CHUNK = 40, 4
 MAX_DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 #: Hash ranges of the sketch that pairs of a list are sifted by.
 BINS = 512
 #: Members of a posting list that are compared in one block.
 BLOCK = 512
+#: Comparisons from which a list is dealt out anew by two symbols of another chunk.
+LONG_LIST = 1 << 22
+#: Sets of as many shingles at most are put in classes by their words, not by hashes of them.
+FEW = 16
+#: Texts of up to so many words are confirmed word by word, longer ones by the 64-bit hashes of their shingles.
+EXACT_WORDS = 200_000
+#: A class that holds one row in so many is joined by broadcast, as there can only be as many such classes.
+HOT_SHARE = 1000
 
 _RNG = np.random.default_rng(7)
 _MULT = _RNG.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,31 +107,57 @@ def _sets(raw: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[np.ndarra
         yield from shingles.shingle_sets(hashes, first, width)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sig, keys and sketch (null for empty sets) of every row."""
+def exact_set(raw: bytes, width: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as words; bytes are split and folded at ASCII characters only."""
+    words = raw.lower().split()
+    return set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else {tuple(words)} if words else set()
+
+
+def _digest(items: np.ndarray, raw: np.ndarray, width: int) -> bytes | None:
+    if len(items) > FEW:
+        return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+    few = sorted(b" ".join(x) for x in exact_set(raw.tobytes(), width))
+    return hashlib.blake2b(b"\n".join(few), digest_size=16, person=b"few").digest() if few else None
+
+
+def signatures(docs: DataFrame, width: int, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns, doc_id, n_shingles, digest of the set, sig and sketch (null for empty sets) of every row."""
     bounded_batches(docs.sparkSession)
+    keep = keep or []
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, sigs, keys, sketches = [], [], [], [], []
-            for items in _sets(*utf8(batch.column("text")), width):
+            sizes, digests, sigs, sketches = [], [], [], []
+            raw, bounds = utf8(batch.column("text"))
+            for k, items in enumerate(_sets(raw, bounds, width)):
                 sizes.append(len(items))
-                sig = signature(items) if len(items) else None
-                digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
-                sigs.append(None if sig is None else sig.tobytes())
-                keys.append(None if sig is None else postings(sig))
-                sketches.append(None if sig is None else sketch(items).tobytes())
+                digests.append(_digest(items, raw[bounds[k] : bounds[k + 1]], width))
+                sigs.append(signature(items).tobytes() if len(items) else None)
+                sketches.append(sketch(items).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "sig", "keys", "sketch"],
+                [*(batch.column(n) for n in keep), batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (digests, sigs, sketches))],
+                names=[*keep, "doc_id", "n_shingles", "digest", "sig", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(sign), "doc_id bigint, n_shingles bigint, digest binary, sig binary, keys array<bigint>, sketch binary")
+    kept = "".join(f"`{n}` {t}, " for n, t in docs.select(*keep).dtypes)
+    return docs.select(*keep, "doc_id", "text").mapInArrow(tidy(sign), kept + "doc_id bigint, n_shingles bigint, digest binary, sig binary, sketch binary")
+
+
+def _posted(signed: DataFrame) -> DataFrame:
+    """key, node: the postings of every class."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [postings(np.frombuffer(x, np.uint16)) for x in batch.column("sig").to_pylist()]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column("node").to_numpy(), SYMBOLS))], names=["key", "node"])
+
+    return signed.select("node", "sig").mapInArrow(post, "key bigint, node bigint")
 
 
 def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs a, b whose signatures and set sizes allow a link."""
-    side = lambda c: signed.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    side = lambda c: signed.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,28 +168,52 @@ def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(near), "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _texts(nodes: DataFrame, docs: DataFrame, signed: DataFrame, width: int) -> DataFrame:
+    """node, text: a text of each class, told from others of the same doc_id by its digest."""
+    wanted = signed.select("node", "rep", "digest").join(nodes, "node", "left_semi")
+    found = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, bounds = utf8(batch.column("text"))
+            wanted = batch.column("digest").to_pylist()
+            same = [_digest(items, raw[bounds[k] : bounds[k + 1]], width) == wanted[k] for k, items in enumerate(_sets(raw, bounds, width))]
+            yield batch.select(["node", "text"]).filter(pa.array(same, pa.bool_()))
+
+    # Rows may repeat a doc_id and its text.
+    return found.select("node", "digest", "text").mapInArrow(tidy(own), "node bigint, text string").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs a, b whose full sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = held(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi"))
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, signed, width)
+    texts = scratch(texts, "texts")
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def shingled(raw: np.ndarray) -> tuple[set | None, np.ndarray | None]:
+        text = raw.tobytes()
+        if text.count(b" ") + text.count(b"\n") <= EXACT_WORDS:
+            return exact_set(text, width), None
+        return None, next(_sets(raw, np.array([0, len(raw)]), width))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hubs: dict[int, int] = {}
-            slot = [hubs.setdefault(b, len(hubs)) for b in batch.column("b").to_pylist()]
-            firsts = [0] * len(hubs)
-            for row in range(len(slot) - 1, -1, -1):
-                firsts[slot[row]] = row
-            hub_sets = list(_sets(*utf8(batch.column("text_b").take(pa.array(firsts, pa.int64()))), width)) if firsts else []
-            linked = []
-            for row, items in enumerate(_sets(*utf8(batch.column("text_a")), width)):
-                other = hub_sets[slot[row]]
-                common = len(items) + len(other) - len(np.union1d(items, other))
-                linked.append(100 * common >= percent * (len(items) + len(other) - common))
+            raw_a, at_a = utf8(batch.column("text_a"))
+            raw_b, at_b = utf8(batch.column("text_b"))
+            linked, last, hub = [], None, (None, None)
+            for row, b in enumerate(batch.column("b").to_pylist()):
+                x, y = raw_a[at_a[row] : at_a[row + 1]], raw_b[at_b[row] : at_b[row + 1]]
+                if b != last:  # rows of one hub lie together
+                    last, hub = b, shingled(y)
+                own = shingled(x)
+                if own[0] is not None and hub[0] is not None:
+                    sizes, common = len(own[0]) + len(hub[0]), len(own[0] & hub[0])
+                else:
+                    p, q = (s if s is not None else next(_sets(r, np.array([0, len(r)]), width)) for s, r in ((own[1], x), (hub[1], y)))
+                    sizes, common = len(p) + len(q), len(np.intersect1d(p, q, assume_unique=True))
+                linked.append(100 * common >= percent * (sizes - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    # Rows of one hub lie together, so its set is built once a batch.
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(check), "a bigint, b bigint")
 
 
@@ -173,30 +237,66 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _rest(listed: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs a < b of different components that share a posting list, by signature."""
-    rows = listed.join(labels.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+def _open(rows: DataFrame) -> DataFrame:
+    """Lists of which members are not in one component: key, largest component, members and how many are outside it."""
     sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    lists = sizes.groupBy("key").agg(F.max_by("comp", "n").alias("largest"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("members"), F.max("n").alias("most"))
     # A list of two was compared in the first round; one component needs nothing more.
-    open_ = sizes.groupBy("key").agg(F.max_by("comp", "n").alias("largest"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("members")).where("k > 1 AND members > 2")
-    open_ = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).select("key", "largest", "blocks")
-    rows = rows.join(open_, "key").join(signed.select("rep", "sig", "sketch", "n_shingles"), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    return lists.where("k > 1 AND members > 2").select("key", "largest", "members", (F.col("members") - F.col("most")).alias("outside"))
+
+
+def _dealt_anew(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """key, place, node, comp: the members of long lists, in a list for every two symbols of each other chunk."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = SYMBOLS // CHUNK
+        pairs = [(i, j) for i in range(CHUNK) for j in range(i)]
+        for batch in batches:
+            sig = np.frombuffer(utf8(batch.column("sig"))[0].tobytes(), np.uint16).reshape(-1, chunks, CHUNK).astype(np.uint64)
+            place = batch.column("place").to_numpy()
+            rows = np.arange(len(place))
+            own = shingles.mix(batch.column("key").to_numpy().view(np.uint64))
+            for c in range(chunks):
+                at = rows[place // CHUNK != c]
+                for k, (i, j) in enumerate(pairs):
+                    two = (sig[at, c, i] << np.uint64(16) | sig[at, c, j]) + np.uint64((c * len(pairs) + k) << 32)
+                    key = shingles.mix(own[at] + shingles.mix(two + np.uint64(1))).view(np.int64)
+                    part = batch.select(["place", "node", "comp"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], names=["key", "place", "node", "comp"])
+
+    kept = rows.join(signed.select("node", "sig"), "node").select("key", "place", "node", "comp", "sig")
+    return kept.mapInArrow(tidy(deal), "key bigint, place int, node bigint, comp bigint")
+
+
+def _rest(listed: DataFrame, labels: DataFrame, signed: DataFrame, long_list: int, shelf: list[DataFrame]) -> DataFrame:
+    """Pairs a < b of different components that share a posting list, by signature."""
+    place = F.shiftright("key", 16 * (CHUNK - 1)).cast("int").alias("place")
+    rows = listed.join(labels.toDF("node", "comp"), "node", "left").select("key", place, "node", F.coalesce("comp", "node").alias("comp"))
+    open_ = held(_open(rows), shelf)
+    long = open_.where(F.col("outside") * F.col("members") > long_list)
+    if not long.isEmpty():
+        anew = _dealt_anew(rows.join(long.select("key"), "key", "left_semi"), signed)
+        short = open_.where(F.col("outside") * F.col("members") <= long_list)
+        rows = held(rows.join(short.select("key"), "key", "left_semi").unionByName(anew), shelf)
+        open_ = _open(rows)
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")
+    rows = rows.join(open_.select("key", "largest", blocks), "key").join(signed.select("node", "sig", "sketch", "n_shingles"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     outside = F.col("comp") != F.col("largest")
-    members = rows.select("key", own.alias("block"), F.lit(False).alias("asks"), "rep", "comp", "sig", "sketch", "n_shingles")
-    asking = rows.where(outside).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "comp", "sig", "sketch", "n_shingles")
+    columns = ["place", "node", "comp", "sig", "sketch", "n_shingles"]
+    members = rows.select("key", own.alias("block"), F.lit(False).alias("asks"), *columns)
+    asking = rows.where(outside).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), *columns)
     dealt = members.unionByName(asking).repartition("key", "block").sortWithinPartitions("key", "block", F.desc("asks"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        group: list[pa.RecordBatch] = []
         last = None
 
         def done(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(group).combine_chunks()
-            asks, rep, comp, n = (t.column(c).to_numpy() for c in ("asks", "rep", "comp", "n_shingles"))
+            asks, node, comp, n, place = (t.column(c).to_numpy() for c in ("asks", "node", "comp", "n_shingles", "place"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            place = int(t.column("key")[0].as_py()) >> 16 * (CHUNK - 1)
             members = np.nonzero(~asks.astype(bool))[0]
             low, high = [], []
             for q in np.nonzero(asks)[0]:
@@ -209,10 +309,10 @@ def _rest(listed: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
                 same = same.reshape(-1, SYMBOLS // CHUNK, CHUNK)
                 # Of the lists that a pair shares, only the first compares it.
                 others = same.sum(axis=2, keepdims=True) - same
-                m = m[(others == CHUNK - 1).reshape(len(m), -1).argmax(axis=1) == place]
+                m = m[(others == CHUNK - 1).reshape(len(m), -1).argmax(axis=1) == place[q]]
                 m = m[_may_link(sketches[m], sketches[q], n[m] + n[q])]
-                low.append(np.minimum(rep[m], rep[q]))
-                high.append(np.maximum(rep[m], rep[q]))
+                low.append(np.minimum(node[m], node[q]))
+                high.append(np.maximum(node[m], node[q]))
             if low:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=["b", "a"])
 
@@ -223,43 +323,72 @@ def _rest(listed: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
                 if i == j:
                     continue
                 if last is not None and last != (key[i], block[i]):
-                    yield from done(held)
-                    held = []
+                    yield from done(group)
+                    group = []
                 last = key[i], block[i]
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from done(held)
+                group.append(batch.slice(i, j - i))
+        if group:
+            yield from done(group)
 
     return dealt.mapInArrow(tidy(compare), "b bigint, a bigint").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the smallest doc_id of its component) of every row.
+def _same_ids(every: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs a, b of classes that hold different texts of one doc_id."""
+    ids = every.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    several = ids.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    held_by = ids.join(several, "doc_id").select("doc_id", "digest").distinct().join(signed.select("digest", "node"), "digest")
+    hubs = held_by.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return held_by.join(hubs, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, keep: list[str] | None = None, long_list: int = LONG_LIST) -> DataFrame:
+    """``keep`` columns, doc_id, n_shingles, component_id and kept (the smallest doc_id of its component) of every row.
 
     Sets of ``width``-word shingles with 100 x intersection >= ``percent`` x union are linked.
-    ``percent`` is 80 or more; the signature threshold is set for that.
+    ``percent`` is 80 or more; the signature threshold is set for that. ``keep`` columns may not be
+    named as one of the operator's.
     """
     if percent < 80:
         raise ValueError("the signature threshold holds for a similarity of 0.8 or more")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    every = held(signatures(docs, width))
-    classes = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = held(every.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", "rep"))
-    signed = held(every.join(classes, "digest").where("doc_id = rep").select("rep", "n_shingles", "sig", "keys", "sketch").dropDuplicates(["rep"]))
-    posted = signed.select(F.explode("keys").alias("key"), "rep")
-    hubs = posted.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
-    listed = held(posted.join(hubs, "key"))
-    stars = listed.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    keep = keep or []
+    docs = docs.select(*keep, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    shelf: list[DataFrame] = []
+    every = held(signatures(docs, width, keep), shelf)
+    # A class meets in one row by way of partial sums; its node is a number that is written down.
+    classes = every.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "sketch"))
+    )
+    signed = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    posted = _posted(signed.where("rep IS NOT NULL"))
+    hubs = posted.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
+    listed = held(posted.join(hubs, "key"), shelf)
+    stars = listed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     tried = settled(_close(stars, signed), "tried")
-    first = settled(_confirmed(tried, docs, width, percent), "links")
+    first = settled(_confirmed(tried, docs, signed, width, percent), "links")
     labels = components(first)
-    rest = settled(_rest(listed.select("key", "rep"), labels, signed).join(tried, ["a", "b"], "left_anti"), "rest")
-    second = _confirmed(rest, docs, width, percent)
-    links = settled(first.unionByName(second), "links")
+    rest = settled(_rest(listed.select("key", "node"), labels, signed, long_list, shelf).join(tried, ["a", "b"], "left_anti"), "rest")
+    second = _confirmed(rest, docs, signed, width, percent)
+    links = settled(first.unionByName(second).unionByName(_same_ids(every, signed)), "links")
     found = components(links)
-    out = members.join(found.toDF("rep", "comp"), "rep", "left")
-    component = F.coalesce("comp", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # The smallest doc_id of every component; a class that is linked with none keeps its own.
+    linked = signed.select("node", "rep").join(found, "node")
+    least = linked.groupBy("comp").agg(F.min("rep").alias("least"))
+    of_class = linked.join(least, "comp").select("node", F.col("least").alias("component_id"))
+    named = signed.select("digest", "rep", "rows", "node").join(of_class, "node", "left").select("digest", "rows", F.coalesce("component_id", "rep").alias("component_id"))
+    named = scratch(named, "named")
+    total = every.count()
+    hot = named.where(F.col("rows") * HOT_SHARE > total).drop("rows")
+    rows = every.select(*keep, "doc_id", "n_shingles", "digest")
+    out = rows.where("digest IS NULL").withColumn("component_id", F.col("doc_id"))
+    out = out.unionByName(rows.join(F.broadcast(hot), "digest"))
+    cold = rows.where("digest IS NOT NULL").join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    out = out.unionByName(cold.join(named.where(F.col("rows") * HOT_SHARE <= total).drop("rows"), "digest"))
+    component = F.coalesce("component_id", "doc_id")
+    done = scratch(out.select(*keep, "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "near")
+    for kept in shelf:
+        kept.unpersist()
+    return done
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,32 @@ def test_decontaminate_against_brute_force(spark, documents, corpus, empty, bloc
     assert {len(r["items"]) for r in decontaminate.find_contamination(documents, bench.limit(0), keep=["doc_id"]).collect()} == {0}
 
 
+def test_blocks_pass_one_by_one(spark, documents, corpus):
+    """Twenty blocks are one scan of the documents; each is given up before the next."""
+    rng = random.Random(14)
+    items = [(i, prose(rng, 30)) for i in range(40)] + [(99, " ".join(corpus[4][1].split()[:12]))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    blocks = decontaminate._blocks(bench, 10, 300)
+    assert len(blocks) >= 20
+    found = decontaminate.find_contamination(documents, bench, keep=["doc_id"], block_bytes=300)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    got = {r["doc_id"]: (r["n_words"], sum(s["b"] - s["a"] for s in r["spans"]), r["items"]) for r in found.collect()}
+    assert got == contamination(corpus, items)
+
+
+def test_texts_longer_than_a_shard(monkeypatch):
+    rng = random.Random(15)
+    text = prose(rng, 3000)
+    items = [(str(k), " ".join(text.split()[k * 100 + 95 : k * 100 + 107])) for k in range(25)] + [("x", text.split()[7])]
+    w = decontaminate.Windows([(i, t.encode()) for i, t in items], 10)
+    for size in (100, 700, 10**6):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        n, spans, found = decontaminate._whole(text.encode(), w, 10)
+        assert (n, sum(b - a for a, b in spans), sorted(found)) == contamination([(1, text)], items)[1]
+    assert decontaminate._whole(b"", w, 10) == (0, [], set())
+
+
 def test_removed_spans(spark):
     docs = spark.createDataFrame([(1, "Keep this. Benchmark passage of ten words stands right here in full text now, and keep that.", 0), (2, None, 0), (3, "clean", 5), (4, "benchmark passage of ten words stands right here in full text now", 0)], "doc_id bigint, text string, n_chars bigint")
     bench = spark.createDataFrame([(1, "benchmark passage of ten words stands right here in full text now")], "item_id bigint, text string")
@@ -166,3 +192,45 @@ def test_missing_and_repeated_ids(spark):
     assert got == sorted([(None, 5, False), (5, 5, True), (5, 5, True), (9, 5, False), (7, 7, True)], key=str)
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """Every text of a repeated doc_id keeps its links, and the doc_id is one node."""
+    rng = random.Random(3)
+    a, b = prose(rng, 40), prose(rng, 40)
+    df = spark.createDataFrame([(5, a), (5, b), (8, a + " x"), (9, b + " x"), (10, prose(rng, 40))], "doc_id bigint, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {(5, 5, True), (8, 5, False), (9, 5, False), (10, 10, True)}
+
+
+def test_words_of_equal_polynomials_differ(spark):
+    """A Thue-Morse word and its complement agree in every polynomial hash modulo a power of two."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    rows = [(i, "".join("ab"[x ^ i] for x in bits)) for i in (0, 1)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r["kept"] for r in got)
+
+
+def test_long_lists_lose_no_pair(documents, corpus):
+    got = {r[0]: tuple(r)[1:] for r in near_dup.near_duplicates(documents, width=4, long_list=0).collect()}
+    assert got == near(corpus, 4)
+
+
+def test_very_long_texts_are_compared_as_a_whole(spark):
+    rng = random.Random(11)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(90_000))
+    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), (4, "x" * 700_000), (5, "x" * 700_000), (6, "x" * 700_001)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r[0]: r["component_id"] for r in near_dup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
+def test_sketches_pass_every_link():
+    """Recall of the signature threshold and of the sketches over sets at a similarity just over 0.8."""
+    rng = np.random.default_rng(4)
+    lost = far = 0
+    for k in range(2000):
+        n = int(rng.integers(30, 3000))
+        common = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        extra = rng.integers(0, 1 << 64, n // 4, dtype=np.uint64)
+        x, y = np.unique(np.concatenate([common, extra[: n // 8]])), np.unique(np.concatenate([common, extra[n // 8 :]]))
+        far += (near_dup.signature(x) != near_dup.signature(y)).sum() > near_dup.MAX_DISTANCE
+        lost += not near_dup._may_link(near_dup.sketch(x)[None], near_dup.sketch(y), np.array([len(x) + len(y)]))[0]
+    assert lost == 0 and far <= 2
