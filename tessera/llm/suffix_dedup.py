@@ -8,15 +8,19 @@ the suffixes that can matter are found first, without loss, and those are sorted
    equal anchors, so a string can repeat only where its anchor does. Documents are also cut, at
    content-defined places, into units; a unit is a stretch with the 49 bytes after it. Equal units are
    represented by the smallest document that has them, so copies are sorted once.
+   Stretches are compared by 128 bits of a cryptographic hash, anchors are only dealt by theirs.
 2. Anchors that stand in different units of different representatives are dealt by hash; the text around them
    goes to the same bucket, where its suffixes are sorted: names of sampled triples, recursion on the
    names while they repeat, then the merge with the remaining suffixes. Neighbours in that order whose
-   50-byte prefixes agree are equal strings; each class takes the smallest doc_id that has it.
+   50-byte prefixes agree are equal strings; each class takes the smallest doc_id that has it. Of equal text
+   around equal anchors a task sends the smallest document's on only: all of it goes in the others, so
+   a passage that many documents share reaches its bucket once a task.
 3. The removed spans go back to their documents, and with them the copied units.
 
-Buckets are dealt in proportion to the input's bytes. Null and empty texts have no bytes. Matches
-never cross documents. Rows without a doc_id neither remove nor lose anything; rows of the same
-doc_id do not remove each other's bytes. Only doc_id and text (and ``keep``) are read.
+Buckets are dealt in proportion to the input's bytes. Null and empty texts have no bytes, an empty table gives
+no rows. Matches never cross documents. Rows without a doc_id neither remove nor lose anything; rows of the same
+doc_id do not remove each other's bytes. Very long texts are marked in overlapping pieces, as a whole; a task
+holds one document's text and its marks at once. Only doc_id and text (and ``keep``) are read.
 """
 
 from __future__ import annotations
@@ -26,20 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import bounded_batches, runs, scratch, table, tidy, utf8
+from tessera.llm.common import ROW, bounded_batches, pack, runs, scratch, table, tidy, unpack, utf8, with_row
 
 LENGTH = 50
 GRAM = 24
 #: Cut places have the least gram within so many bytes to either side.
 RADIUS = 128
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 #: Text that one bucket answers for.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 1 << 20
+#: Pieces of text around anchors that a task remembers, to tell copies at once.
+SEEN = 100_000
 
+#: Bytes to either side that decide whether a place is an anchor or a cut, at most.
+_MARGIN = 256
 _REACH = LENGTH - GRAM  # bytes of a string on one side of its anchor, at most
 _TOP = np.uint32(0xFFFFFFFF)
 _GRAM_VALUES = np.random.default_rng(50).integers(0, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
@@ -70,45 +79,64 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
+def _places(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and cut places of consecutive texts."""
+    n = len(bounds) - 1
+    sizes = np.diff(bounds)
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    # A gap after each text keeps its neighbours out of every window.
+    spread = np.arange(len(raw)) + doc * np.int64(RADIUS + LENGTH)
+    room = len(raw) + n * (RADIUS + LENGTH) + RADIUS + LENGTH
+    gapped = np.zeros(room, np.uint8)
+    gapped[spread] = raw
+    left = bounds[1:][doc] - np.arange(len(raw))  # bytes to the end of the text
+    order = np.full(room, _TOP, np.uint32)
+    h = np.minimum(_gram_hash(gapped), _TOP - np.uint32(1))
+    whole = left >= GRAM
+    order[spread[whole]] = h[spread[whole]]
+    width = _REACH + 1
+    least = _least(order, width)
+    in_string = np.zeros(room, np.uint32)
+    full = spread[left >= LENGTH]
+    in_string[full] = least[full]
+    most = ~_least(~np.concatenate([np.zeros(width - 1, np.uint32), in_string]), width)
+    own = order[spread]
+    anchors = np.nonzero((most[spread] == own) & whole)[0]
+    near = _least(np.concatenate([np.full(RADIUS, _TOP, np.uint32), order, np.full(RADIUS, _TOP, np.uint32)]), RADIUS)
+    cut = (near[spread + RADIUS] == own) & (near[spread] > own) & whole  # so cuts are over RADIUS apart
+    cut[bounds[:-1][sizes > 0]] = True
+    return anchors, np.nonzero(cut)[0]
+
+
+def _places_of_one(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_places`` of one long text, by overlapping pieces."""
+    found: tuple[list, list] = [], []
+    for a in range(0, len(raw), RUN_BYTES):
+        low, high = max(0, a - _MARGIN), min(len(raw), a + RUN_BYTES + _MARGIN)
+        for out, at in zip(found, _places(raw[low:high], np.array([0, high - low])), strict=True):
+            at = at + low
+            out.append(at[(at >= a) & (at < a + RUN_BYTES)])
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
 class Marks:
     """Anchors and units of consecutive texts; positions count over all of them."""
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray):
-        n = len(bounds) - 1
-        sizes = np.diff(bounds)
-        doc = np.repeat(np.arange(n), sizes)
-        # A gap after each text keeps its neighbours out of every window.
-        spread = np.arange(len(raw)) + doc * (RADIUS + LENGTH)
-        room = len(raw) + n * (RADIUS + LENGTH) + RADIUS + LENGTH
-        gapped = np.zeros(room, np.uint8)
-        gapped[spread] = raw
-        left = bounds[1:][doc] - np.arange(len(raw))  # bytes to the end of the text
-        order = np.full(room, _TOP, np.uint32)
-        h = np.minimum(_gram_hash(gapped), _TOP - np.uint32(1))
-        whole = left >= GRAM
-        order[spread[whole]] = h[spread[whole]]
-        width = _REACH + 1
-        least = _least(order, width)
-        in_string = np.zeros(room, np.uint32)
-        full = spread[left >= LENGTH]
-        in_string[full] = least[full]
-        most = ~_least(~np.concatenate([np.zeros(width - 1, np.uint32), in_string]), width)
-        own = order[spread]
-        self.anchors = np.nonzero((most[spread] == own) & whole & (left >= 1))[0]
-        near = _least(np.concatenate([np.full(RADIUS, _TOP, np.uint32), order, np.full(RADIUS, _TOP, np.uint32)]), RADIUS)
-        cut = (near[spread + RADIUS] == own) & (near[spread] > own) & whole  # so cuts are over RADIUS apart
-        cut[bounds[:-1][sizes > 0]] = True
-        self.starts = np.nonzero(cut)[0]
-        self.doc = doc
+        self.anchors, self.starts = _places_of_one(raw) if len(bounds) == 2 and len(raw) > 2 * RUN_BYTES else _places(raw, bounds)
+        self.doc_of_start = np.searchsorted(bounds, self.starts, side="right") - 1
+        self.doc_of_anchor = np.searchsorted(bounds, self.anchors, side="right") - 1
         stops = np.append(self.starts[1:], len(raw))
-        ends = bounds[1:][doc[self.starts]] if len(self.starts) else stops[:0]
+        ends = bounds[1:][self.doc_of_start] if len(self.starts) else stops[:0]
         self.stops = np.minimum(np.minimum(stops[: len(self.starts)], ends) + LENGTH - 1, ends)
-        prefix = shingles.prefix_hash(raw, fold=False)
-        self.unit_hash = shingles.span_hash(prefix, self.starts, self.stops)
-        self.anchor_hash = shingles.span_hash(prefix, self.anchors, self.anchors + GRAM)
+        data = memoryview(np.ascontiguousarray(raw))
+        self.units = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(self.starts.tolist(), self.stops.tolist(), strict=True)]
+        halves = np.frombuffer(b"".join(self.units), np.uint64).reshape(-1, 2)
+        self.unit_hash, self.unit_more = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+        self.anchor_hash = shingles.span_hash(raw, self.anchors, np.full(len(self.anchors), GRAM))
         # Strings with an anchor may start in its unit or in the one before.
         unit = np.searchsorted(self.starts, self.anchors, side="right") - 1
-        early = np.searchsorted(self.starts, np.maximum(self.anchors - _REACH, bounds[:-1][doc[self.anchors]]), side="right") - 1
+        early = np.searchsorted(self.starts, np.maximum(self.anchors - _REACH, bounds[:-1][self.doc_of_anchor]), side="right") - 1
         split = np.nonzero(early != unit)[0]
         self.held = np.concatenate([np.arange(len(unit)), split])
         self.held_unit = np.concatenate([unit, early[split]])
@@ -119,25 +147,29 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _dealt(kind: int, buckets: int, h: np.ndarray, unit: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
-    """Rows bucket, kind, first doc and packed hashes, units and doc steps, each bucket's once."""
+    """Rows bucket, kind, first doc and packed hashes, units and doc steps, each bucket's once.
+
+    Kind 0 has anchors with half the hash of a unit, kind 1 the two halves of units' hashes.
+    """
     if not len(h):
         return
-    pair = np.lexsort((doc, unit, h)) if kind == 0 else np.lexsort((doc, h))
+    pair = np.lexsort((doc, unit, h))
     h, unit, doc = h[pair], unit[pair], doc[pair]
     fresh = np.ones(len(h), bool)  # the smallest document of an anchor in a unit stands for the others
-    fresh[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1]) if kind == 0 else (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    fresh[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
+    if kind:
+        fresh[1:] |= doc[1:] != doc[:-1]
     h, unit, doc = h[fresh], unit[fresh], doc[fresh]
     where = _bucket(h, buckets)
     by = np.lexsort((doc, where))
     h, unit, doc, where = h[by], unit[by], doc[by], where[by]
     cuts = np.concatenate([[0], np.nonzero(np.diff(where))[0] + 1, [len(where)]])
     h_raw = h.view(np.uint8).reshape(-1, 8)[:, : 8 if kind else 6]
-    unit_raw = unit.view(np.uint8).reshape(-1, 8)[:, :5]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         steps = np.diff(doc[a:b])
         top = int(steps.max(initial=0))
         size = next(k for k in (1, 2, 4, 8) if top < 1 << (8 * k - 1))
-        yield int(where[a]), kind, int(doc[a]), h_raw[a:b].tobytes(), b"" if kind else unit_raw[a:b].tobytes(), steps.astype(f"<i{size}").tobytes(), size
+        yield int(where[a]), kind, int(doc[a]), h_raw[a:b].tobytes(), unit[a:b].tobytes(), steps.astype(f"<i{size}").tobytes(), size
 
 
 _DEALT = "bucket int, kind int, first bigint, h binary, unit binary, steps binary, size int"
@@ -156,16 +188,16 @@ def _survey(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             raw, bounds = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, j in runs(bounds, RUN_BYTES):
                 m = Marks(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 own = ids[i:j]
-                for part, values in zip(parts, (m.anchor_hash[m.held], m.unit_hash[m.held_unit], own[m.doc[m.anchors[m.held]]], m.unit_hash, own[m.doc[m.starts]]), strict=True):
+                for part, values in zip(parts, (m.anchor_hash[m.held], m.unit_hash[m.held_unit], own[m.doc_of_anchor[m.held]], m.unit_hash, m.unit_more, own[m.doc_of_start]), strict=True):
                     part.append(values)
             if not parts[0]:
                 continue
-            h, unit, doc, unit_h, unit_doc = (np.concatenate(p) for p in parts)
-            rows = [*_dealt(0, buckets, h, unit, doc), *_dealt(1, buckets, unit_h, unit_h, unit_doc)]
+            h, unit, doc, unit_h, unit_more, unit_doc = (np.concatenate(p) for p in parts)
+            rows = [*_dealt(0, buckets, h, unit, doc), *_dealt(1, buckets, unit_h, unit_more, unit_doc)]
             if rows:
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "kind", "first", "h", "unit", "steps", "size"])
@@ -173,48 +205,37 @@ def _survey(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(tidy(mark), _DEALT)
 
 
-def _groups(key: np.ndarray) -> np.ndarray:
-    """Group number of each element of a sorted key."""
-    return np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else key.astype(np.int64)
-
-
 def _resolve(t: pa.Table) -> pa.Table:
     """For one bucket: kind 0 (doc_id, anchor) to be sorted, kind 1 (doc_id, unit) copied from a smaller document."""
-    found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     for kind in (0, 1):
         rows = [r for r in t.to_pylist() if r["kind"] == kind]
         if not rows:
             continue
         h = np.concatenate([_widened(r["h"], 8 if kind else 6) for r in rows])
+        unit = np.concatenate([np.frombuffer(r["unit"], np.uint64) for r in rows])
         doc = np.concatenate([r["first"] + np.concatenate([[0], np.cumsum(np.frombuffer(r["steps"], f"<i{r['size']}").astype(np.int64))]) for r in rows]).astype(np.int64)
-        if kind == 1:
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            group = _groups(h)
-            owner = doc[np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1])][group]
-            copied = doc > owner
-            found.append((1, doc[copied], h[copied]))
-            continue
-        unit = np.concatenate([_widened(r["unit"], 5) for r in rows])
         order = np.lexsort((doc, unit, h))
         h, unit, doc = h[order], unit[order], doc[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
+        if kind == 1:
+            owner = doc[np.nonzero(first)[0]][np.cumsum(first) - 1]
+            copied = doc > owner
+            found.append((1, doc[copied], h[copied], unit[copied]))
+            continue
         h, doc = h[first], doc[first]  # an anchor once for each distinct unit, with its smallest document
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
-        group = _groups(h)
-        low = np.full(group[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, group, doc)
-        high = np.full(group[-1] + 1, np.iinfo(np.int64).min)
-        np.maximum.at(high, group, doc)
-        pick = (low < high)[group]
-        pick[1:] &= (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        found.append((0, doc[pick], h[pick]))
-    kinds = np.concatenate([np.full(len(d), k, np.int32) for k, d, _ in found]) if found else np.empty(0, np.int32)
-    docs = np.concatenate([d for _, d, _ in found]) if found else np.empty(0, np.int64)
-    marks = np.concatenate([m.view(np.int64) for _, _, m in found]) if found else np.empty(0, np.int64)
-    return pa.table({"doc_id": docs, "kind": kinds, "mark": marks})
+        begins = np.concatenate([[True], h[1:] != h[:-1]])
+        ends = np.concatenate([begins[1:], [True]])
+        group = np.cumsum(begins) - 1
+        pick = (doc[begins] < doc[ends])[group]
+        pick[1:] &= begins[1:] | (doc[1:] != doc[:-1])
+        found.append((0, doc[pick], h[pick], h[pick]))
+    column = lambda k, kind: np.concatenate([f[k] for f in found]).view(kind) if found else np.empty(0, kind)
+    kinds = np.concatenate([np.full(len(f[1]), f[0], np.int32) for f in found]) if found else np.empty(0, np.int32)
+    return pa.table({"doc_id": column(1, np.int64), "kind": kinds, "mark": column(2, np.int64), "more": column(3, np.int64)})
 
 
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -228,33 +249,59 @@ def _listed(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _segments(docs: DataFrame, buckets: int) -> DataFrame:
-    """The text around every anchor to be sorted, dealt by the anchor's hash."""
+    """The text around every anchor to be sorted, dealt by the anchor's hash.
+
+    Where the task has seen the same text around the same anchor in a smaller document, all of it goes:
+    a row with lead -1 says so, with the span's end in place of the anchor.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int, bytes], int] = {}
         for batch in batches:
             raw, bounds = utf8(batch.column("text"))
             ids, prints = batch.column("doc_id").to_numpy(), batch.column("print").to_numpy()
-            rows: list[tuple] = []
             for i, j in runs(bounds, RUN_BYTES):
+                rows: list[tuple] = []
+                spans: dict[int, list[tuple[int, int]]] = {}
                 own, base = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
                 m = Marks(own, base)
                 marks, row = _listed(batch.column("anchors"), i, j)
                 asked = np.unique(np.stack([marks.view(np.uint64), row.astype(np.uint64)], 1), axis=0)
                 asked = np.unique(shingles.mix(asked[:, 0] + shingles.mix(asked[:, 1] + np.uint64(1))))
-                row_of = m.doc[m.anchors]
+                row_of = m.doc_of_anchor
                 key = shingles.mix((m.anchor_hash & _LOW48) + shingles.mix(row_of.astype(np.uint64) + np.uint64(1)))
                 at = np.minimum(np.searchsorted(asked, key), max(len(asked) - 1, 0))
                 hit = np.nonzero(asked[at] == key)[0] if len(asked) else at[:0]
                 q, h, row_of = m.anchors[hit], m.anchor_hash[hit], row_of[hit]
                 begin, end = np.maximum(base[row_of], q - _REACH), np.minimum(base[row_of + 1], q + LENGTH)
-                where = _bucket(h, buckets)
                 data = own.tobytes()
-                for k in np.argsort(where, kind="stable").tolist():
-                    r = int(row_of[k])
-                    rows.append((int(where[k]), int(ids[i + r]), int(prints[i + r]), int(begin[k] - base[r]), int(h[k].view(np.int64)), int(q[k] - begin[k]), data[begin[k] : end[k]]))
-            if rows:
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "doc_id", "print", "begin", "anchor", "lead", "bytes"])
+                every = zip(row_of.tolist(), begin.tolist(), end.tolist(), (q - begin).tolist(), h.view(np.int64).tolist(), _bucket(h, buckets).tolist(), strict=True)
+                for r, a, b, lead, anchor, where in every:
+                    doc, text = int(ids[i + r]), data[a:b]
+                    least = seen.get((anchor, lead, text))
+                    if least is not None and least < doc:
+                        if b - a >= LENGTH:
+                            spans.setdefault(r, []).append((a, b))
+                        continue
+                    if least is None:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen[anchor, lead, text] = doc
+                    elif doc < least:
+                        seen[anchor, lead, text] = doc
+                    rows.append((where, doc, int(prints[i + r]), a - int(base[r]), anchor, lead, text))
+                for r, found in spans.items():
+                    doc, start = int(ids[i + r]), int(base[r])
+                    a, b = found[0]
+                    for c, d in [*found[1:], (len(data) + LENGTH, 0)]:  # in order of place
+                        if c > b:
+                            rows.append(((doc ^ a) % buckets, doc, int(prints[i + r]), a - start, b - start, -1, b""))
+                            a, b = c, d
+                        b = max(b, d)
+                rows.sort(key=lambda x: x[0])
+                if rows:
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "doc_id", "print", "begin", "anchor", "lead", "bytes"])
 
     return docs.mapInArrow(tidy(cut), "bucket int, doc_id bigint, print bigint, begin bigint, anchor bigint, lead int, bytes binary")
 
@@ -330,7 +377,16 @@ def _string_classes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _removed(t: pa.Table) -> pa.Table:
     """For one bucket: the spans [a, b) of documents to remove."""
+    told = pc.equal(t.column("lead"), -1)
+    copied = t.filter(told)
+    sure = pa.table({"doc_id": copied.column("doc_id"), "print": copied.column("print"), "a": copied.column("begin"), "b": copied.column("anchor")})
+    return pa.concat_tables([sure, _sorted_spans(t.filter(pc.invert(told)))])
+
+
+def _sorted_spans(t: pa.Table) -> pa.Table:
     empty = pa.table({"doc_id": pa.array([], pa.int64()), "print": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not t.num_rows:
+        return empty
     doc, print_, begin = (t.column(c).to_numpy() for c in ("doc_id", "print", "begin"))
     around = zip(t.column("anchor").to_pylist(), t.column("lead").to_pylist(), t.column("bytes").to_pylist(), strict=True)
     # Equal text around equal anchors is sorted once, for the smallest document that has it.
@@ -395,26 +451,27 @@ def _alone(kept: list[tuple[int, int, bytes]]) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id and its marks (print, mark, a, b): spans to remove where print is set, else a copied unit."""
+    """doc_id and its marks (print, mark, more, a, b): spans to remove where print is set, else a copied unit."""
     named = docs.where("doc_id IS NOT NULL")
     dealt = _survey(named.select("doc_id", "text"), buckets)
-    resolved = scratch(dealt.groupBy("bucket").applyInArrow(_resolve, "doc_id bigint, kind int, mark bigint"), "resolved")
+    resolved = scratch(dealt.groupBy("bucket").applyInArrow(_resolve, "doc_id bigint, kind int, mark bigint, more bigint"), "resolved")
     asked = resolved.where("kind = 0").groupBy("doc_id").agg(F.collect_list("mark").alias("anchors"))
     texts = named.select("doc_id", F.xxhash64("text").alias("print"), "text").join(asked, "doc_id")
     around = _segments(texts, buckets)
     spans = around.groupBy("bucket").applyInArrow(_removed, "doc_id bigint, print bigint, a bigint, b bigint")
-    copied = resolved.where("kind = 1").select("doc_id", F.lit(None).cast("bigint").alias("print"), "mark", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    every = scratch(spans.select("doc_id", "print", F.lit(0).cast("bigint").alias("mark"), "a", "b"), "spans").unionByName(copied)
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("print", "mark", "a", "b")).alias("marks"))
+    none = F.lit(0).cast("bigint")
+    copied = resolved.where("kind = 1").select("doc_id", F.lit(None).cast("bigint").alias("print"), "mark", "more", none.alias("a"), none.alias("b"))
+    every = scratch(spans, "spans").select("doc_id", "print", none.alias("mark"), none.alias("more"), "a", "b").unionByName(copied)
+    return every.groupBy("doc_id").agg(F.collect_list(F.struct("print", "mark", "more", "a", "b")).alias("marks"))
 
 
 def _gone(raw: np.ndarray, marks: list[dict], print_: int) -> np.ndarray:
     """Which bytes of a text are removed."""
     change = np.zeros(len(raw) + 1, np.int32)
-    units = np.array([m["mark"] for m in marks if m["print"] is None], np.int64).view(np.uint64)
-    if len(units) and len(raw) >= LENGTH:
+    units = {m["mark"].to_bytes(8, "little", signed=True) + m["more"].to_bytes(8, "little", signed=True) for m in marks if m["print"] is None}
+    if units and len(raw) >= LENGTH:
         m = Marks(raw, np.array([0, len(raw)]))
-        hit = np.isin(m.unit_hash, units) & (m.stops - m.starts >= LENGTH)
+        hit = np.array([u in units for u in m.units], bool) & (m.stops - m.starts >= LENGTH)
         np.add.at(change, m.starts[hit], 1)
         np.add.at(change, m.stops[hit], -1)
     own = np.array([(m["a"], m["b"]) for m in marks if m["print"] == print_], np.int64).reshape(-1, 2)
@@ -427,21 +484,19 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], whole_characters: bool =
     """``keep`` columns with n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row.
 
     ``whole_characters`` leaves characters that are only removed in part, so that ``kept`` is a text.
+    A kept column that is called as a result gives way to it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    marks = _marks(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), max(16, -(-total // BUCKET_BYTES)))
-    own = docs.select(*keep)
-    schema = ", ".join(f"`{n}` {t}" for n, t in own.dtypes) + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    marked = docs.select(*keep, F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).join(marks.withColumnRenamed("doc_id", "_id"), "_id", "left")
-    marked = marked.select(*keep, "_text", F.xxhash64("_text").alias("_print"), "marks")
+    packed = docs.select(pack(keep), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = packed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    marks = _marks(packed.select("doc_id", "text"), max(16, -(-total // BUCKET_BYTES)))
+    marked = packed.join(marks, "doc_id", "left").select(ROW, "text", F.xxhash64("text").alias("print"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, bounds = utf8(batch.column("_text"))
-            prints, marks = batch.column("_print").to_pylist(), batch.column("marks")
+            raw, bounds = utf8(batch.column("text"))
+            prints, marks = batch.column("print").to_pylist(), batch.column("marks")
             removed, spans, kept = [], [], []
             for r in range(batch.num_rows):
                 text = raw[bounds[r] : bounds[r + 1]]
@@ -460,11 +515,12 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], whole_characters: bool =
                 spans.append(int((gone[1:] & ~gone[:-1]).sum()) + int(gone[:1].sum()))
                 kept.append(text[~gone].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in keep), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column(ROW), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+                names=[ROW, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return marked.mapInArrow(tidy(cut), schema)
+    done = marked.mapInArrow(tidy(cut), with_row(packed, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
+    return done.select(*unpack(keep, ["n_bytes", "n_removed", "n_spans", "kept"]))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,34 @@ def test_difference_cover():
     for _ in range(300):
         s = [rng.randint(1, rng.choice([1, 2, 9])) for _ in range(rng.randint(0, 70))]
         assert sd.difference_cover_order(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_passage_in_a_third_of_the_rows(spark, monkeypatch):
+    """Also where a task forgets what it has seen."""
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abc def") for _ in range(700))
+    rows = [(i, f"{rng.random()} {passage if i % 3 == 0 else ''} {rng.random()} {passage[100:300] if i % 7 == 0 else ''}{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert run(df) == brute(rows)
+    around = sd._segments(spark.createDataFrame([(i, 1, t, []) for i, t in rows], "doc_id bigint, print bigint, text string, anchors array<bigint>"), 4)
+    assert around.count() == 0
+
+
+def test_texts_longer_than_a_run_are_marked_as_a_whole(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    long = " ".join(word() for _ in range(3 * sd.RUN_BYTES // 5))
+    raw = np.frombuffer(long.encode(), np.uint8)
+    assert len(raw) > 2.5 * sd.RUN_BYTES
+    for got, want in zip(sd._places_of_one(raw), sd._places(raw, np.array([0, len(raw)])), strict=True):
+        assert got.tolist() == want.tolist()
+    half = len(long) // 2
+    rows = [(1, long[half - 400_000 : half + 100_000]), (2, long), (3, "x" * 30_000 + long[-90:])]
+    assert run(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
+
+
+def test_kept_columns_may_have_any_names(spark):
+    rows = [(1, "y" * 90, 4, "a", 2), (2, "y" * 90, 5, "b", 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, print int, `odd.name` string, n_spans int")
+    got = sd.remove_repeats(df, keep=["doc_id", "print", "odd.name", "text", "n_spans"]).orderBy("doc_id").collect()
+    assert [(r["print"], r["odd.name"], r["text"][0], r["n_removed"], r["n_spans"]) for r in got] == [(4, "a", "y", 0, 0), (5, "b", "y", 90, 1)]
