@@ -3,39 +3,51 @@
 The lattice of a text has an edge for every piece that matches; the forward pass sums path weights up to each
 position and the backward pass draws a path from its end, edge by edge, so segmentations are
 drawn exactly by their weight. Draws come from a counter-based generator keyed by the row key, the
-unit's place in the text and the step: the same row is always cut the same way, whichever
-executor does it, however rows are dealt.
+unit's place in the text and the step, and a node's cumulative probabilities are summed on their own: the
+same row is always cut the same way, whichever executor does it, however rows are dealt and whatever is beside it.
 
 No piece crosses from a non-blank to a blank or over a line feed or tab, so the lattice falls into units (checked
-when the vocabulary is loaded). The forward pass of a unit is done once and kept in a bounded table.
+when the vocabulary is loaded). The forward pass of a unit is done once and kept in a bounded table. Units
+of more than ``LONG_UNIT`` bytes (texts without blanks) are done one by one in blocks: the forward pass keeps the sums at
+the blocks' bounds, and the backward pass makes each block's again. A long text is read a part at a time.
 
 The vocabulary file is a byte-fallback BPE model, which has merge ranks instead of probabilities. A piece's
-weight is Zipfian in its rank, raised to ``alpha``; larger values cut less freely. Text is
-taken as it is: one blank goes in front, blanks become the model's blank mark, and characters without a piece are cut into byte
-pieces. Decoding joins the pieces' bytes and drops that blank, which gives back any text.
+weight is Zipfian in its rank, raised to ``alpha``; larger values cut less freely. The driver reads the file and sends
+it along. Text is taken as it is: one blank goes in front, blanks become the model's blank mark, and characters
+without a piece are cut into byte pieces. Decoding joins the pieces' bytes and drops that blank, which gives back any text.
 
 A null text has null ids; an empty one has the pieces of the blank in front. A null row key is a key of its own.
+Repeated rows are cut alike; an empty table gives no rows; other columns do not matter, and a kept one that is called
+as a result gives way to it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
+from itertools import islice
+from math import exp, log1p
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, runs, table, tidy, utf8
+from tessera.llm.common import ROW, bounded_batches, pack, runs, table, tidy, unpack, utf8, with_row
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 17
-RUN_BYTES = 1 << 19
+RUN_BYTES = 1 << 18
 #: Edges that the table of known units holds before it is begun anew.
-TABLE_EDGES = 3_000_000
+TABLE_EDGES = 2_000_000
+#: Bytes of a unit that is done on its own, and of the blocks it is done in.
+LONG_UNIT = 2048
+BLOCK = 1 << 15
+#: Units of a long text that are cut at once.
+PART = 50_000
 
 _MARK = "▁"
 _UNITS = re.compile(rb"[\n\t]| *[^ \n\t]+| +")
@@ -51,10 +63,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Piece bytes and log weights, and a trie of the pieces."""
 
-    def __init__(self, model: str, alpha: float):
+    def __init__(self, model: bytes, alpha: float):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.vocab_size()
         self.pieces: list[bytes] = []
         self.byte_ids = np.full(256, -1, np.int32)
@@ -92,6 +104,17 @@ class Vocabulary:
         self.child = np.array([children[k] for k in self.keys.tolist()], np.int32)
         self.ends = np.array(ends, np.int32)
         self.root = np.array([children.get(b, -1) for b in range(256)], np.int32)
+        self.longest = max(len(p) for p in self.pieces)
+
+    @cached_property
+    def by_bytes(self) -> dict[bytes, int]:
+        """The pieces that are not byte pieces."""
+        bytes_ = set(self.byte_ids.tolist())
+        return {p: i for i, p in enumerate(self.pieces) if p and i not in bytes_}
+
+    @cached_property
+    def children(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.child.tolist(), strict=True))
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node.astype(np.int64) << 8 | byte
@@ -108,11 +131,21 @@ class Lattices:
 
     def clear(self) -> None:
         self.end_node: dict[bytes, int] = {}
-        self.first = np.zeros(1, np.int32)  # first edge of every node
-        self.cum = np.zeros(0, np.float64)
-        self.start = np.zeros(0, np.int32)  # node an edge comes from
-        self.piece = np.zeros(0, np.int32)
-        self.root = np.zeros(0, bool)
+        self.nodes = self.edges = 0
+        self.first = np.zeros(1 << 16, np.int32)  # first edge of every node
+        self.root = np.zeros(1 << 16, bool)
+        self.cum = np.zeros(1 << 18, np.float64)
+        self.start = np.zeros(1 << 18, np.int32)  # node an edge comes from
+        self.piece = np.zeros(1 << 18, np.int32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        room = getattr(self, name)
+        if at + len(values) > len(room):
+            wider = np.zeros(max(at + len(values), len(room) * 3 // 2), room.dtype)
+            wider[:at] = room[:at]
+            setattr(self, name, wider)
+            room = wider
+        room[at : at + len(values)] = values
 
     def add(self, units: list[bytes]) -> None:
         """Forward filtering of new units."""
@@ -183,21 +216,22 @@ class Lattices:
         with np.errstate(invalid="ignore"):
             chance[slot] = np.exp(alpha[source] + weight - alpha[end])
         chance = np.nan_to_num(chance)  # nodes inside a character that no path reaches
-        running = np.cumsum(chance)
-        owner_first = np.repeat(first, degree)
-        cum = running - np.concatenate([[0.0], running])[owner_first]
-        last = (first + degree - 1)[degree > 0]
-        cum[last] = 2.0
-        base_node, base_edge = len(self.first) - 1, len(self.cum)
-        self.first = np.concatenate([self.first[:-1], (first + base_edge).astype(np.int32)])
-        self.cum = np.concatenate([self.cum, cum])
-        self.start = np.concatenate([self.start, (slot_start + base_node).astype(np.int32)])
-        self.piece = np.concatenate([self.piece, slot_piece])
+        cum = np.empty(total)
+        for k in range(int(degree.max(initial=0))):  # each node's on its own, so that no other unit has a part in it
+            at = first[degree > k] + k
+            cum[at] = chance[at] + (cum[at - 1] if k else 0.0)
+        cum[(first + degree - 1)[degree > 0]] = 2.0
         is_root = np.zeros(nodes, bool)
         is_root[roots] = True
-        self.root = np.concatenate([self.root, is_root])
-        for unit, node in zip(units, (roots + sizes + base_node).tolist(), strict=True):
+        self._put("cum", self.edges, cum)
+        self._put("start", self.edges, slot_start + self.nodes)
+        self._put("piece", self.edges, slot_piece)
+        self._put("first", self.nodes, first[:nodes] + self.edges)
+        self._put("root", self.nodes, is_root)
+        for unit, node in zip(units, (roots + sizes + self.nodes).tolist(), strict=True):
             self.end_node[unit] = node
+        self.nodes += nodes
+        self.edges += total
 
     def sample(self, nodes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling: the pieces of unit occurrences in order, and how many each has."""
@@ -226,75 +260,191 @@ class Lattices:
         return out, count
 
 
+class LongUnit:
+    """Forward filtering and backward sampling of one unit, by blocks of its bytes."""
+
+    def __init__(self, v: Vocabulary, unit: bytes):
+        self.v, self.unit = v, unit
+        ends, edge = v.ends.tolist(), v.children
+        root, self.weight, self.byte_ids = v.root.tolist(), v.log_weight.tolist(), v.byte_ids.tolist()
+        self.walk = ends, edge, root
+        carry, self.carries = {0: 0.0}, []
+        for p in range(0, len(unit), BLOCK):
+            self.carries.append(carry)
+            sums = self._sums(p)
+            carry = {k: x for k, x in sums.items() if k >= p + BLOCK}
+        self.last = carry if len(unit) % BLOCK == 0 else sums
+
+    def _char(self, at: int) -> bytes:
+        """The character that the byte at ``at`` is part of."""
+        end = at + 1
+        while self.unit[at] & 0xC0 == 0x80 and at:
+            at -= 1
+        while end < len(self.unit) and self.unit[end] & 0xC0 == 0x80:
+            end += 1
+        return self.unit[at:end]
+
+    def _sums(self, p: int) -> dict[int, float]:
+        """Log weights of all paths to each node of the block at ``p``, and what it adds to those after it."""
+        unit, (ends, edge, root) = self.unit, self.walk
+        sums = dict(self.carries[p // BLOCK])
+
+        def add(source: float, to: int, piece: int) -> None:
+            x = source + self.weight[piece]
+            old = sums.get(to)
+            sums[to] = x if old is None else max(old, x) + log1p(exp(-abs(old - x)))
+
+        odd = self._char(p) not in self.v.by_bytes
+        for at in range(p, min(p + BLOCK, len(unit))):
+            source = sums.get(at)
+            if source is None:
+                continue
+            if unit[at] & 0xC0 != 0x80:
+                node, to = root[unit[at]], at + 1
+                while node >= 0:
+                    if ends[node] >= 0:
+                        add(source, to, ends[node])
+                    if to == len(unit):
+                        break
+                    node = edge.get(node << 8 | unit[to], -1)
+                    to += 1
+                odd = self._char(at) not in self.v.by_bytes
+            if odd:
+                add(source, at + 1, self.byte_ids[unit[at]])
+        return sums
+
+    def _edges(self, to: int) -> Iterator[tuple[int, int]]:
+        """Starts and pieces of the edges that end at ``to``, longest first."""
+        unit, known = self.unit, self.v.by_bytes
+        for at in range(max(0, to - self.v.longest), to):
+            piece = known.get(unit[at:to]) if unit[at] & 0xC0 != 0x80 else None
+            if piece is not None:
+                yield at, piece
+        if self._char(to - 1) not in known:
+            yield to - 1, self.byte_ids[unit[to - 1]]
+
+    def sample(self, state: int) -> list[int]:
+        pieces, to, block = [], len(self.unit), -1
+        state_of = np.array([state], np.uint64)
+        while to > 0:
+            if block != (to - 1) // BLOCK:
+                block = (to - 1) // BLOCK
+                sums = {**(self._sums((block - 1) * BLOCK) if block else {}), **self._sums(block * BLOCK)}
+            state_of = _mix(state_of + _GOLD)
+            u = float(state_of[0] >> np.uint64(11)) * 2.0**-53
+            cum = 0.0
+            for at, piece in self._edges(to):
+                if at not in sums:
+                    continue
+                start, drawn = at, piece
+                cum += exp(sums[at] + self.weight[piece] - sums[to])
+                if u < cum:
+                    break
+            pieces.append(drawn)
+            to = start
+        return pieces[::-1]
+
+
 @cache
-def _vocabulary(model: str, alpha: float) -> Vocabulary:
+def _vocabulary(model: bytes, alpha: float) -> Vocabulary:
     return Vocabulary(model, alpha)
 
 
+def _sampled(lat: Lattices, units: list[bytes], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of units in order and how many each has."""
+    long = [k for k, u in enumerate(units) if len(u) > LONG_UNIT]
+    if long:
+        own = np.ones(len(units), bool)
+        own[long] = False
+        ids, count = _sampled(lat, [u for u in units if len(u) <= LONG_UNIT], state[own])
+        parts = {k: np.array(LongUnit(lat.v, units[k]).sample(int(state[k])), np.int32) for k in long}
+        counts = np.zeros(len(units), np.int64)
+        counts[own] = count
+        before = np.concatenate([[0], np.cumsum(counts)])
+        out, at = [], 0
+        for k, part in parts.items():
+            out += [ids[at : before[k]], part]
+            at = before[k]
+            counts[k] = len(part)
+        return np.concatenate([*out, ids[at:]]), counts
+    if lat.edges > TABLE_EDGES:
+        lat.clear()
+    new = [u for u in dict.fromkeys(units) if u not in lat.end_node]
+    if new:
+        lat.add(new)
+    return lat.sample(np.fromiter(map(lat.end_node.__getitem__, units), np.int64, len(units)), state)
+
+
+def _states(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return _mix(keys + (place.astype(np.uint64) + np.uint64(1)) * _GOLD)
+
+
 def _encode(lat: Lattices, texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of consecutive texts and where each text's begin."""
+    if len(texts) == 1 and len(texts[0]) > RUN_BYTES:
+        parts, place = [], 0
+        every = (m.group() for m in _UNITS.finditer(b" " + texts[0]))
+        while units := list(islice(every, PART)):
+            parts.append(_sampled(lat, units, _states(np.repeat(keys, len(units)), place + np.arange(len(units))))[0])
+            place += len(units)
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)])
     units: list[bytes] = []
     sizes = []
     for raw in texts:
         own = _UNITS.findall(b" " + raw)
         sizes.append(len(own))
         units += own
-    if len(lat.cum) > TABLE_EDGES:
-        lat.clear()
-    fresh = [u for u in dict.fromkeys(units) if u not in lat.end_node]
-    if fresh:
-        lat.add(fresh)
-    nodes = np.fromiter(map(lat.end_node.__getitem__, units), np.int64, len(units))
     first = np.concatenate([[0], np.cumsum(sizes)])
     place = np.arange(len(units)) - np.repeat(first[:-1], sizes)
-    state = _mix(np.repeat(keys, sizes) + (place.astype(np.uint64) + np.uint64(1)) * _GOLD)
-    ids, count = lat.sample(nodes, state)
+    ids, count = _sampled(lat, units, _states(np.repeat(keys, sizes), place))
     return ids, np.concatenate([[0], np.cumsum(count)])[first]
 
 
 def encode(docs: DataFrame, key: Column, *, keep: list[str], model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """``keep`` columns and ids (array<int>): a sampled segmentation of each whole text, seeded by ``key``."""
     bounded_batches(docs.sparkSession)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + ", ids array<int>"
+    packed = docs.select(pack(keep), F.xxhash64(key, F.lit(seed)).alias("key"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = Lattices(_vocabulary(model, alpha))
+        lat = Lattices(_vocabulary(shared.value, alpha))
         for batch in batches:
-            texts = batch.column("_text")
-            keys = batch.column("_key").to_numpy().view(np.uint64)
+            texts = batch.column("text")
+            keys = batch.column("key").to_numpy().view(np.uint64)
             raw, bounds = utf8(texts)
-            data = raw.tobytes()
             for i, j in runs(bounds, RUN_BYTES):
-                ids, first = _encode(lat, [data[bounds[k] : bounds[k + 1]] for k in range(i, j)], keys[i:j])
+                ids, first = _encode(lat, [raw[bounds[k] : bounds[k + 1]].tobytes() for k in range(i, j)], keys[i:j])
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=texts.slice(i, j - i).is_null())
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(i, j - i) for n in keep), lists], names=[*keep, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(ROW).slice(i, j - i), lists], names=[ROW, "ids"])
 
-    return docs.select(*keep, F.xxhash64(key, F.lit(seed)).alias("_key"), F.col("text").alias("_text")).mapInArrow(tidy(cut), schema)
+    return packed.mapInArrow(tidy(cut), with_row(packed, "ids array<int>")).select(*unpack(keep, ["ids"]))
 
 
 def _decode(pieces: list[bytes], ids: np.ndarray, first: np.ndarray) -> list[bytes]:
     """The texts that pieces stand for, without the blank in front."""
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        out.append(b"".join(map(pieces.__getitem__, ids[a:b].tolist()))[1:])
+        parts = [b"".join(map(pieces.__getitem__, ids[k : min(k + 10 * PART, b)].tolist())) for k in range(a, b, 10 * PART)]
+        out.append(b"".join(parts)[1:])
     return out
 
 
 def decode(encoded: DataFrame, *, keep: list[str], model: str = MODEL) -> DataFrame:
     """``keep`` columns and text, put together again from ids; null ids give a null text."""
     bounded_batches(encoded.sparkSession)
-    schema = ", ".join(f"`{n}` {t}" for n, t in encoded.select(*keep).dtypes) + ", text string"
+    packed = encoded.select(pack(keep), "ids")
+    shared = encoded.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _vocabulary(model, ALPHA).pieces
+        pieces = _vocabulary(shared.value, ALPHA).pieces
         for batch in batches:
-            column = batch.column("_ids")
-            offsets = column.offsets.to_numpy()
-            texts = _decode(pieces, column.values.to_numpy(zero_copy_only=False), offsets)
+            column = batch.column("ids")
+            texts = _decode(pieces, column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy())
             out = pa.array([t.decode() if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), out], names=[*keep, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), out], names=[ROW, "text"])
 
-    return encoded.select(*keep, F.col("ids").alias("_ids")).mapInArrow(tidy(join), schema)
+    return packed.mapInArrow(tidy(join), with_row(packed, "text string")).select(*unpack(keep, ["text"]))
 
 
 def round_trip(docs: DataFrame, *, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
@@ -303,29 +453,27 @@ def round_trip(docs: DataFrame, *, key: str = "doc_id", model: str = MODEL, alph
     Encodes like ``encode`` and decodes like ``decode``, both in the worker that holds the text.
     """
     bounded_batches(docs.sparkSession)
-    kind = docs.select(key).dtypes[0][1]
+    packed = docs.select(pack([key]), F.xxhash64(F.col(key), F.lit(seed)).alias("key"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
+    results = ["ids", "n_pieces", "n_bytes", "lossless"]
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = Lattices(_vocabulary(model, alpha))
+        lat = Lattices(_vocabulary(shared.value, alpha))
         for batch in batches:
-            column = batch.column("_text")
-            keys = batch.column("_key").to_numpy().view(np.uint64)
+            column = batch.column("text")
+            keys = batch.column("key").to_numpy().view(np.uint64)
             raw, bounds = utf8(column)
-            data = raw.tobytes()
             for i, j in runs(bounds, RUN_BYTES):
-                texts = [data[bounds[k] : bounds[k + 1]] for k in range(i, j)]
+                texts = [raw[bounds[k] : bounds[k + 1]].tobytes() for k in range(i, j)]
                 ids, first = _encode(lat, texts, keys[i:j])
                 same = [x == y for x, y in zip(_decode(lat.v.pieces, ids, first), texts, strict=True)]
                 missing = column.slice(i, j - i).is_null()
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids), mask=missing)
                 counts = np.where(missing.to_numpy(zero_copy_only=False), 0, np.diff(first))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).slice(i, j - i), lists, pa.array(counts), pa.array(np.diff(bounds[i : j + 1])), pa.array(same)],
-                    names=[key, "ids", "n_pieces", "n_bytes", "lossless"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(ROW).slice(i, j - i), lists, pa.array(counts), pa.array(np.diff(bounds[i : j + 1])), pa.array(same)], names=[ROW, *results])
 
-    schema = f"`{key}` {kind}, ids array<int>, n_pieces bigint, n_bytes bigint, lossless boolean"
-    return docs.select(key, F.xxhash64(F.col(key), F.lit(seed)).alias("_key"), F.col("text").alias("_text")).mapInArrow(tidy(both), schema)
+    done = packed.mapInArrow(tidy(both), with_row(packed, "ids array<int>, n_pieces bigint, n_bytes bigint, lossless boolean"))
+    return done.select(*unpack([key], results))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
