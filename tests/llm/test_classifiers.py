@@ -144,3 +144,44 @@ def test_kneser_ney_sums_to_one():
     np.add.at(counts, (a * 128 + b) * 128 + c, 1)
     p = language_id.kneser_ney(counts)[0].reshape(128 * 128, 128)
     assert np.allclose(p.sum(axis=1), 1)
+
+
+def test_quality_words_leave_the_document_out(spark):
+    """Documents that differ in their words alone; a labelled document's own rare words do not speak for it."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["calm", "clear", "sound"] if i % 2 else ["buyy", "nowx", "clik"]) + f" {w} id{rng.random()}" for w in prose(rng, 30).split()), f"s{i % 5}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r for r in quality_classifier.judge_documents(docs, labels, keep=["doc_id"], threshold=0.5).collect()}
+    assert sum(got[i]["kept"] == bool(i % 2) for i in range(200, 300)) >= 97
+    model = quality_classifier.word_model(docs.select("doc_id", "text"), labels.withColumnRenamed("quality", "good"))
+    assert model.rows.tolist() == [100, 100] and (model.ratios(1) <= model.ratios(None) + 1e-9).any()
+
+
+def test_quality_sites_leave_the_document_out(spark):
+    """The prior of a document is its site's without it, worked out by hand."""
+    text = "plain words here " * 9
+    rows = [(i, text, f"h{i % 3}", f"p{i % 2}") for i in range(12)] + [(12, text, "alone", "p")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(13)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r["site_prior"] for r in quality_classifier.judge_documents(docs, labels, keep=["doc_id"]).collect()}
+    vote = {i: float(i % 4 == 0) for i in range(13)}
+    at = {i: (h, p) for i, _, h, p in rows}
+    overall = (sum(vote.values()) + 1) / (len(vote) + 2)
+
+    def strength(groups):
+        n = sum(m for m, _, _ in groups)
+        within, between = sum(m * a * (1 - a) for m, _, a in groups) / n, sum(m * (r - a) ** 2 for m, r, a in groups) / n
+        return min(max(within / max(between - within / (n / len(groups)), 1e-6) - 1, 2.0), 10_000.0)
+
+    hosts = {h: [i for i in vote if at[i][0] == h] for h, _ in at.values()}
+    sites = {s: [i for i in vote if at[i] == s] for s in at.values()}
+    rate = lambda ids: sum(vote[i] for i in ids) / len(ids)
+    kh = strength([(len(ids), rate(ids), overall) for ids in hosts.values()])
+    above = {h: (sum(vote[i] for i in ids) + kh * overall) / (len(ids) + kh) for h, ids in hosts.items()}
+    kp = strength([(len(ids), rate(ids), above[s[0]]) for s, ids in sites.items()])
+    for i in vote:
+        h, s = hosts[at[i][0]], sites[at[i]]
+        up = (sum(vote[j] for j in h) - vote[i] + kh * overall) / (len(h) - 1 + kh)
+        want = (sum(vote[j] for j in s) - vote[i] + kp * up) / (len(s) - 1 + kp)
+        assert abs(got[i] - min(max(want, 0.001), 0.999)) < 1e-9
