@@ -110,10 +110,22 @@ def row_key() -> Column:
     return F.concat_ws("|", *[F.coalesce(p, F.lit("null")) for p in parts])
 
 
+#: Rows of a few numbers that are broadcast at most, so that texts stay where they are (up to some 30 MB).
+SENT_ROWS = 500_000
+
+
+def sent(narrow: DataFrame) -> DataFrame:
+    """``narrow``, broadcast if a count shows that it is small; else both sides of its join are dealt by key."""
+    return F.broadcast(narrow) if narrow.count() <= SENT_ROWS else narrow.hint("merge")
+
+
 def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose ``row_key`` is in the column ``key`` of ``keys``; columns may have any names."""
+    """``docs`` without the rows whose ``row_key`` is in the column ``key`` of ``keys``; columns may have any names.
+    ``keys`` is counted, so it should be written."""
     own = fresh("tessera_key", docs.columns)
-    return docs.withColumn(own, row_key()).join(keys.select(F.col("key").alias(own)), own, "left_anti").select(*docs.columns)
+    both = lambda key: F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(2), key).alias("b")).alias(own)
+    dropped = sent(keys.select(both(F.col("key"))))
+    return docs.select("*", both(row_key())).join(dropped, own, "left_anti").select(*docs.columns)
 
 
 #: Rows of one file of a table that is only written to cut the lineage.

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import FILE_ROWS, bounded_batches, held, runs, scratch, settled, table, tidy, utf8
+from tessera.llm.common import FILE_ROWS, bounded_batches, held, runs, scratch, sent, settled, table, tidy, utf8
 
 SYMBOLS, CHUNK = 40, 4
 MAX_DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
@@ -171,7 +171,7 @@ def _close(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 def _texts(nodes: DataFrame, docs: DataFrame, signed: DataFrame, width: int) -> DataFrame:
     """node, text: a text of each class, told from others of the same doc_id by its digest."""
     wanted = signed.select("node", "rep", "digest").join(nodes, "node", "left_semi")
-    found = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    found = docs.select(F.col("doc_id").alias("rep"), "text").join(sent(scratch(wanted, "wanted")), "rep")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,11 +355,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, keep:
     docs = docs.select(*keep, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     shelf: list[DataFrame] = []
     every = held(signatures(docs, width, keep), shelf)
-    # A class meets in one row by way of partial sums; its node is a number that is written down.
+    # A class meets in one row by way of partial sums.
     classes = every.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "sketch"))
     )
-    signed = scratch(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    signed = scratch(classes, "classes")
+    # A class is the node of its smallest doc_id. Where that is not enough, as a doc_id has several texts, nodes are
+    # numbers in the order of doc_ids, written down. A list's smallest is then often what the others were made from.
+    if signed.where("rep IS NOT NULL").groupBy("rep").count().where("count > 1").isEmpty():
+        signed = signed.withColumn("node", F.col("rep"))
+    else:
+        signed = scratch(signed.orderBy("rep", "digest").withColumn("node", F.monotonically_increasing_id()), "nodes")
     posted = _posted(signed.where("rep IS NOT NULL"))
     hubs = posted.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
     listed = held(posted.join(hubs, "key"), shelf)
