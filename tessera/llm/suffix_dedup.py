@@ -14,7 +14,9 @@ the suffixes that can matter are found first, without loss, and those are sorted
    names while they repeat, then the merge with the remaining suffixes. Neighbours in that order whose
    50-byte prefixes agree are equal strings; each class takes the smallest doc_id that has it. Of equal text
    around equal anchors a task sends the smallest document's on only: all of it goes in the others, so
-   a passage that many documents share reaches its bucket once a task.
+   a passage that many documents share reaches its bucket once a task. Around an anchor of very many documents
+   the text is dealt twice, by the 13 bytes before the anchor and by those after it: two texts that share a string
+   agree in one of them.
 3. The removed spans go back to their documents, and with them the copied units.
 
 Buckets are dealt in proportion to the input's bytes. Null and empty texts have no bytes, an empty table gives
@@ -44,6 +46,8 @@ RADIUS = 128
 RUN_BYTES = 1 << 18
 #: Text that one bucket answers for.
 BUCKET_BYTES = 1 << 20
+#: Documents of one anchor from which on the text around it is dealt by the bytes beside the anchor as well.
+HOT_ANCHOR = 2000
 #: Pieces of text around anchors that a task remembers, to tell copies at once.
 SEEN = 100_000
 
@@ -205,7 +209,7 @@ def _survey(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(tidy(mark), _DEALT)
 
 
-def _resolve(t: pa.Table) -> pa.Table:
+def _resolve(t: pa.Table, hot_anchor: int) -> pa.Table:
     """For one bucket: kind 0 (doc_id, anchor) to be sorted, kind 1 (doc_id, unit) copied from a smaller document."""
     found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     for kind in (0, 1):
@@ -232,7 +236,8 @@ def _resolve(t: pa.Table) -> pa.Table:
         group = np.cumsum(begins) - 1
         pick = (doc[begins] < doc[ends])[group]
         pick[1:] &= begins[1:] | (doc[1:] != doc[:-1])
-        found.append((0, doc[pick], h[pick], h[pick]))
+        hot = (np.bincount(group) >= hot_anchor)[group].astype(np.uint64)
+        found.append((0, doc[pick], h[pick] | (hot[pick] << np.uint64(48)), h[pick]))
     column = lambda k, kind: np.concatenate([f[k] for f in found]).view(kind) if found else np.empty(0, kind)
     kinds = np.concatenate([np.full(len(f[1]), f[0], np.int32) for f in found]) if found else np.empty(0, np.int32)
     return pa.table({"doc_id": column(1, np.int64), "kind": kinds, "mark": column(2, np.int64), "more": column(3, np.int64)})
@@ -248,6 +253,15 @@ def _listed(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return part.values.to_numpy()[offsets[0] : offsets[-1]], np.repeat(np.arange(j - i), np.diff(offsets))
 
 
+def _sides(text: bytes, lead: int, anchor: int, buckets: int) -> set[int]:
+    """Buckets of a text by the half of a string's other bytes that stands on either side of its anchor."""
+    half = _REACH // 2
+    sides = (text[lead - half : lead] if lead >= half else None, text[lead + GRAM : lead + GRAM + half])
+    named = [bytes([k]) + x for k, x in enumerate(sides) if x is not None and len(x) == half]
+    start = anchor.to_bytes(8, "little", signed=True)
+    return {int.from_bytes(hashlib.blake2b(start + x, digest_size=8).digest(), "little") % buckets for x in named}
+
+
 def _segments(docs: DataFrame, buckets: int) -> DataFrame:
     """The text around every anchor to be sorted, dealt by the anchor's hash.
 
@@ -266,17 +280,18 @@ def _segments(docs: DataFrame, buckets: int) -> DataFrame:
                 own, base = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
                 m = Marks(own, base)
                 marks, row = _listed(batch.column("anchors"), i, j)
-                asked = np.unique(np.stack([marks.view(np.uint64), row.astype(np.uint64)], 1), axis=0)
-                asked = np.unique(shingles.mix(asked[:, 0] + shingles.mix(asked[:, 1] + np.uint64(1))))
+                mark = marks.view(np.uint64)
+                asked, one = np.unique(shingles.mix((mark & _LOW48) + shingles.mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
                 row_of = m.doc_of_anchor
                 key = shingles.mix((m.anchor_hash & _LOW48) + shingles.mix(row_of.astype(np.uint64) + np.uint64(1)))
                 at = np.minimum(np.searchsorted(asked, key), max(len(asked) - 1, 0))
                 hit = np.nonzero(asked[at] == key)[0] if len(asked) else at[:0]
+                hot = mark[one[at[hit]]] > _LOW48
                 q, h, row_of = m.anchors[hit], m.anchor_hash[hit], row_of[hit]
                 begin, end = np.maximum(base[row_of], q - _REACH), np.minimum(base[row_of + 1], q + LENGTH)
                 data = own.tobytes()
-                every = zip(row_of.tolist(), begin.tolist(), end.tolist(), (q - begin).tolist(), h.view(np.int64).tolist(), _bucket(h, buckets).tolist(), strict=True)
-                for r, a, b, lead, anchor, where in every:
+                every = zip(row_of.tolist(), begin.tolist(), end.tolist(), (q - begin).tolist(), h.view(np.int64).tolist(), _bucket(h, buckets).tolist(), hot.tolist(), strict=True)
+                for r, a, b, lead, anchor, where, crowded in every:
                     doc, text = int(ids[i + r]), data[a:b]
                     least = seen.get((anchor, lead, text))
                     if least is not None and least < doc:
@@ -289,7 +304,8 @@ def _segments(docs: DataFrame, buckets: int) -> DataFrame:
                         seen[anchor, lead, text] = doc
                     elif doc < least:
                         seen[anchor, lead, text] = doc
-                    rows.append((where, doc, int(prints[i + r]), a - int(base[r]), anchor, lead, text))
+                    for at in _sides(text, lead, anchor, buckets) if crowded else (where,):
+                        rows.append((at, doc, int(prints[i + r]), a - int(base[r]), anchor, lead, text))
                 for r, found in spans.items():
                     doc, start = int(ids[i + r]), int(base[r])
                     a, b = found[0]
@@ -450,11 +466,11 @@ def _alone(kept: list[tuple[int, int, bytes]]) -> np.ndarray:
     return np.array([all(seen[side] == 1 for side in own) for own in sides], bool)
 
 
-def _marks(docs: DataFrame, buckets: int) -> DataFrame:
+def _marks(docs: DataFrame, buckets: int, hot_anchor: int) -> DataFrame:
     """doc_id and its marks (print, mark, more, a, b): spans to remove where print is set, else a copied unit."""
     named = docs.where("doc_id IS NOT NULL")
     dealt = _survey(named.select("doc_id", "text"), buckets)
-    resolved = scratch(dealt.groupBy("bucket").applyInArrow(_resolve, "doc_id bigint, kind int, mark bigint, more bigint"), "resolved")
+    resolved = scratch(dealt.groupBy("bucket").applyInArrow(lambda t: _resolve(t, hot_anchor), "doc_id bigint, kind int, mark bigint, more bigint"), "resolved")
     asked = resolved.where("kind = 0").groupBy("doc_id").agg(F.collect_list("mark").alias("anchors"))
     texts = named.select("doc_id", F.xxhash64("text").alias("print"), "text").join(asked, "doc_id")
     around = _segments(texts, buckets)
@@ -480,7 +496,7 @@ def _gone(raw: np.ndarray, marks: list[dict], print_: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, keep: list[str], whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, keep: list[str], whole_characters: bool = False, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """``keep`` columns with n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row.
 
     ``whole_characters`` leaves characters that are only removed in part, so that ``kept`` is a text.
@@ -490,7 +506,7 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], whole_characters: bool =
     bounded_batches(spark)
     packed = docs.select(pack(keep), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = packed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    marks = _marks(packed.select("doc_id", "text"), max(16, -(-total // BUCKET_BYTES)))
+    marks = _marks(packed.select("doc_id", "text"), max(16, -(-total // BUCKET_BYTES)), hot_anchor)
     marked = packed.join(marks, "doc_id", "left").select(ROW, "text", F.xxhash64("text").alias("print"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,8 +28,8 @@ def brute(rows):
     return out
 
 
-def run(df):
-    done = sd.remove_repeats(df, keep=["doc_id"])
+def run(df, **more):
+    done = sd.remove_repeats(df, keep=["doc_id"], **more)
     return {r[0]: tuple(r)[1:] for r in done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
 
 
@@ -64,7 +64,7 @@ def test_difference_cover():
         assert sd.difference_cover_order(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_passage_in_a_third_of_the_rows(spark, monkeypatch):
+def test_passage_in_a_third_of_the_rows(spark):
     """Also where a task forgets what it has seen."""
     rng = random.Random(7)
     passage = "".join(rng.choice("abc def") for _ in range(700))
@@ -75,6 +75,14 @@ def test_passage_in_a_third_of_the_rows(spark, monkeypatch):
     assert around.count() == 0
 
 
+def test_crowded_anchors_lose_no_string(documents, corpus, spark):
+    assert run(documents, hot_anchor=2) == brute(corpus)
+    rng = random.Random(17)
+    line = "".join(rng.choice("abc def") for _ in range(70))
+    rows = [(i, f"{'x' * rng.randrange(30)}{line}{rng.choice('uvw') * rng.randrange(40)}{i}") for i in range(90)]
+    assert run(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), hot_anchor=2) == brute(rows)
+
+
 def test_texts_longer_than_a_run_are_marked_as_a_whole(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
