@@ -9,8 +9,12 @@ again with escapes and a leading ``<|esc|>`` line, which the parser undoes.
 Escapes: backslash to ``\\b``, ``<|`` to ``<\\p`` and, in roles, a line break to ``\\n``;
 every backslash in escaped text starts a code, so the codes never run together.
 
+The loss mask has a span of the formatted text for each turn (code points, [begin, end)), of what a model is trained
+on: an assistant's text as it stands there, escapes included; the spans of other turns are empty.
+
 Turns are ordered by (turn, role, text), nulls first; null roles and texts count as
-empty; a null conversation id is a conversation of its own. Empty tables give no rows.
+empty; a null conversation id is a conversation of its own; repeated rows are turns of their own. A conversation is
+one value, so its turns meet in one row, however long. Empty tables give no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 START, END, ESCAPED = "<|im_start|>", "<|im_end|>", "<|esc|>\n"
+#: Turns whose places are summed together.
+CHUNK = 256
 #: A conversation that copies the template's own control strings (fixed by the contract of op9).
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -45,12 +51,17 @@ def render(turns: Column, escaped: bool) -> Column:
     return F.concat(F.lit(ESCAPED), F.array_join(F.transform(turns, lambda t: _turn(role(t), _escape(t["text"]))), ""))
 
 
-def parse(formatted: Column) -> Column:
-    """array<struct<role, text>> of a rendered conversation; null where the grammar does not fit."""
+def _pieces(formatted: Column) -> Column:
+    """The turns of a rendered conversation, without their end marks."""
     marked = F.startswith(formatted, F.lit(ESCAPED))
     body = F.when(marked, F.substr(formatted, F.lit(len(ESCAPED) + 1))).otherwise(formatted)
     pieces = F.split(body, r"\Q" + END + r"\E\n", -1)
-    turns = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
+def parse(formatted: Column) -> Column:
+    """array<struct<role, text>> of a rendered conversation; null where the grammar does not fit."""
+    marked = F.startswith(formatted, F.lit(ESCAPED))
 
     def one(piece: Column) -> Column:
         inner = F.substr(piece, F.lit(len(START) + 1))
@@ -61,11 +72,55 @@ def parse(formatted: Column) -> Column:
         undone = F.struct(_unescape(role).alias("role"), _unescape(text).alias("text"))
         return F.when(fits, F.when(marked, undone).otherwise(plain))
 
-    return F.transform(turns, one)
+    return F.transform(_pieces(formatted), one)
+
+
+def running(sizes: Column) -> Column:
+    """The sum of the sizes before each, by chunks, so that long arrays are not summed again for each element."""
+    zero = F.lit(0).cast("bigint")
+    total = lambda xs: F.aggregate(xs, zero, lambda s, x: s + x)
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(sizes) - 1) / CHUNK).cast("int"), F.lit(0)))
+    chunks = F.transform(starts, lambda k: F.slice(sizes, k * CHUNK + 1, F.lit(CHUNK)))
+    empty = F.struct(zero.alias("sum"), F.array().cast("array<bigint>").alias("before"))
+    before = F.aggregate(F.transform(chunks, total), empty, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before")))
+    zipped = F.arrays_zip(chunks.alias("chunk"), before["before"].alias("base"))
+    # Fields are taken by place, as the names of computed arrays are not kept.
+    named = zipped.cast("array<struct<chunk:array<bigint>,base:bigint>>")
+    return F.flatten(F.transform(named, lambda z: F.transform(z["chunk"], lambda x, j: z["base"] + total(F.slice(z["chunk"], F.lit(1), j)))))
+
+
+def loss_mask(formatted: Column) -> Column:
+    """array<struct<base, begin, end>>: where each turn stands in ``formatted``, and what of it is trained on."""
+    marked = F.startswith(formatted, F.lit(ESCAPED))
+    head = F.when(marked, F.lit(len(ESCAPED))).otherwise(F.lit(0))
+    pieces = _pieces(formatted)
+    before = running(F.transform(pieces, lambda p: (F.length(p) + F.lit(len(END) + 1)).cast("bigint")))
+    turns = F.arrays_zip(pieces.alias("piece"), before.alias("at")).cast("array<struct<piece:string,at:bigint>>")
+
+    def span(t: Column) -> Column:
+        cut = F.instr(t["piece"], "\n")
+        role = F.substr(t["piece"], F.lit(len(START) + 1), cut - F.lit(len(START) + 1))
+        base, begin, end = head + t["at"], head + t["at"] + cut, head + t["at"] + F.length(t["piece"])
+        trained = F.when(marked, _unescape(role)).otherwise(role) == "assistant"
+        return F.struct(base.alias("base"), begin.alias("begin"), F.when(trained, end).otherwise(begin).alias("end"))
+
+    return F.transform(turns, span)
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The unescaped texts that a mask covers, in order. Each is cut from its turn, so that the text is gone through once."""
+    marked = F.startswith(formatted, F.lit(ESCAPED))
+    named = "array<struct<piece:string,span:struct<base:bigint,begin:bigint,end:bigint>>>"
+
+    def cut(z: Column) -> Column:
+        text = F.substr(z["piece"], (z["span"]["begin"] - z["span"]["base"] + 1).cast("int"), (z["span"]["end"] - z["span"]["begin"]).cast("int"))
+        return F.when(marked, _unescape(text)).otherwise(text)
+
+    return F.transform(F.arrays_zip(_pieces(formatted).alias("piece"), mask.alias("span")).cast(named), cut)
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, escaped, turns (reparsed from formatted) and round_trip for each conversation."""
+    """conv_id, formatted, escaped, turns (reparsed from formatted), loss_mask and round_trip for each conversation."""
     clean = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # A conversation is one output value, so its turns must meet in one row.
     grouped = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
@@ -73,7 +128,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     first = source.withColumn("raw", render(F.col("source"), False)).withColumn("same", F.coalesce(parse(F.col("raw")) == F.col("source"), F.lit(False)))
     final = first.select("conv_id", "source", (~F.col("same")).alias("escaped"), F.when(F.col("same"), F.col("raw")).otherwise(render(F.col("source"), True)).alias("formatted"))
     return final.withColumn("turns", parse(F.col("formatted"))).select(
-        "conv_id", "formatted", "escaped", "turns", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("round_trip")
+        "conv_id", "formatted", "escaped", "turns", loss_mask(F.col("formatted")).alias("loss_mask"), F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("round_trip")
     )
 
 
@@ -84,7 +139,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
     done = format_conversations(rows)
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(under_mask(F.col("formatted"), F.col("loss_mask")), "")
     return done.withColumn("loss", loss).select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),

@@ -7,10 +7,12 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -179,6 +181,25 @@ def runs(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+@cache
+def letters() -> np.ndarray:
+    """The lower-case letter of every code point, 0 where it is no letter."""
+    out = np.zeros(0x110000, np.uint32)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        for cp in range(low, high):
+            if chr(cp).isalpha():
+                out[cp] = ord(chr(cp).lower()[0])
+    return out
+
+
+def shown(parts: list[Broadcast]) -> Iterator:
+    """The values of broadcasts, one after the other: of several, a worker holds one at once."""
+    for part in parts:
+        yield part.value
+        if len(parts) > 1 and getattr(part, "_path", None):
+            part.__dict__.pop("_value", None)  # read again from the worker's disk when it is asked for
+
+
 def code_points(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of consecutive texts, a line feed after each, and the text of each point."""
     n = len(bounds) - 1

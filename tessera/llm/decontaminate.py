@@ -31,7 +31,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ROW, bounded_batches, pack, rewritten, runs, table, tidy, unpack, utf8, with_row
+from tessera.llm.common import ROW, bounded_batches, pack, rewritten, runs, shown, table, tidy, unpack, utf8, with_row
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -324,13 +324,6 @@ def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> list[Broadcas
     return [benchmark.sparkSession.sparkContext.broadcast(Windows([(r["item"], r["text"].encode()) for r in part(k).toLocalIterator()], width)) for k in range(n)]
 
 
-def _shown(blocks: list[Broadcast]) -> Iterator[Windows]:
-    for block in blocks:
-        yield block.value
-        if len(blocks) > 1 and getattr(block, "_path", None):
-            block.__dict__.pop("_value", None)  # read again from the worker's disk when the next documents come
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns with n_words, spans (merged runs of hit words, [a, b)) and items (sorted) of every document.
 
@@ -343,7 +336,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keep: list[str]
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, CHUNK_BYTES if len(blocks) > 1 else 0):
             state = [([0] * b.num_rows, [[] for _ in range(b.num_rows)], [set() for _ in range(b.num_rows)]) for b in chunk]
-            for w in _shown(blocks):
+            for w in shown(blocks):
                 for batch, (sizes, spans, items) in zip(chunk, state, strict=True):
                     raw, bounds = utf8(batch.column("text"))
                     for i, j in runs(bounds, SHARD_BYTES):

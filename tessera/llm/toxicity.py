@@ -2,13 +2,14 @@
 
 Texts are folded to lower-case letters with single blanks; their character 3-, 4- and 5-grams
 are hashed. From labelled documents come the document counts of every hash per
-class; the ``FEATURES`` hashes of clearest evidence are kept, and a document's vector has the
-naive Bayes log-count ratio of each it holds. A logistic regression on these vectors gives
-the score. Counts and fit take at most ``TRAIN_ROWS`` labelled documents of either class, those
+class; the classifier has the ``FEATURES`` hashes of clearest evidence (its size, a documented parameter; ties go to the
+smaller hash), and a document's vector has the naive Bayes log-count ratio of each it holds. A logistic regression on
+these vectors gives the score. Counts and fit take at most ``TRAIN_ROWS`` labelled documents of either class, those
 of least hash (a documented bound); every whole text is scored.
 
-Null and empty texts are scored like a text without features. Without labelled
-rows of both classes the model is neutral: everything scores the prior.
+Null and empty texts are scored like a text without features, very long ones as a whole. Without labelled
+rows of both classes the model is neutral: everything scores the prior. An empty table gives no rows. Only text (and
+``keep``) is read for scores; a kept column called score gives way to it.
 Repeated rows each get a result; repeated labels of a document count once (any toxic wins).
 """
 
@@ -16,14 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, code_points, runs, scratch, table, utf8
+from tessera.llm.common import ROW, bounded_batches, code_points, letters, pack, runs, scratch, table, tidy, unpack, utf8, with_row
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -35,25 +35,14 @@ RUN_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-@cache
-def _folded() -> np.ndarray:
-    """Lower-case letter of every code point, 32 for anything else."""
-    out = np.full(0x110000, 32, np.uint32)
-    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
-        for cp in range(low, high):
-            if chr(cp).isalpha():
-                out[cp] = ord(chr(cp).lower()[0])
-    return out
-
-
 def _grams(raw: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order, the hashes of consecutive texts' n-grams and the text of each."""
     points, row = code_points(raw, bounds)
-    letters = _folded()[np.minimum(points, 0x10FFFF)]
-    keep = np.ones(len(letters), bool)
-    keep[1:] = (letters[1:] != 32) | (letters[:-1] != 32)
-    letters, row = letters[keep].astype(np.uint64), row[keep]
-    value = (letters + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93)
+    folded = letters()[np.minimum(points, 0x10FFFF)]
+    keep = np.ones(len(folded), bool)
+    keep[1:] = (folded[1:] != 0) | (folded[:-1] != 0)
+    folded, row = folded[keep].astype(np.uint64), row[keep]
+    value = (folded + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93)
     rolled, width = value, 1
     for order in ORDERS:
         while width < order and len(rolled) > 1:
@@ -134,8 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     parts = [each.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows) for k in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 x train_rows ids
     sample = scratch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("label", "text"), "toxic")
-    counts = sample.mapInArrow(_count, "hash bigint, n0 bigint, n1 bigint").groupBy("hash").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    cells = np.array([(r["hash"], r["n0"], r["n1"]) for r in counts.where(F.col("n0") + F.col("n1") >= 3).toLocalIterator()], np.int64).reshape(-1, 3)
+    counts = sample.mapInArrow(tidy(_count), "hash bigint, n0 bigint, n1 bigint").groupBy("hash").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = counts.toArrow()
+    cells = np.stack([found.column(c).to_numpy() for c in ("hash", "n0", "n1")], axis=1).astype(np.int64)
+    cells = cells[np.argsort(cells[:, 0])]
     total = cells[cells[:, 0] == 1 << BITS][:, 1:].sum(axis=0) if len(cells) else np.zeros(2)
     slot = np.full(1 << BITS, -1, np.int16)
     if not len(cells) or not total.all():
@@ -160,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
             packed = [x.tobytes() for x in np.packbits(bits, axis=1)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())], names=["label", "bits"])
 
-    rows = sample.mapInArrow(vectors, "label int, bits binary").collect()  # train_rows x FEATURES bits a class
+    rows = sample.mapInArrow(tidy(vectors), "label int, bits binary").collect()  # train_rows x FEATURES bits a class
     rows.sort(key=lambda r: (r["label"], bytes(r["bits"])))
     x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, :FEATURES]
     w, b = _fit(x * ratio.astype(np.float32), np.array([r["label"] for r in rows], np.float32))
@@ -168,20 +159,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
 
 
 def score_documents(docs: DataFrame, model: Classifier, *, keep: list[str]) -> DataFrame:
+    """``keep`` columns and score."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + ", score double"
+    packed = docs.select(pack(keep), "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, bounds = utf8(batch.column("_text"))
+            raw, bounds = utf8(batch.column("text"))
             out = np.zeros(batch.num_rows)
             for i, j in runs(bounds, RUN_BYTES):
                 out[i:j] = shared.value.scores(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(out)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(out)], names=[ROW, "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(score, schema)
+    return packed.mapInArrow(tidy(score), with_row(packed, "score double")).select(*unpack(keep, ["score"]))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,15 +135,103 @@ def test_language_id(spark, documents, empty):
     assert {r["lang_pred"] for r in language_id.identify(df, nothing, keep=["doc_id"]).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
+def brute_models(rows):
+    """Interpolated Kneser-Ney trigrams over letters, from dictionaries."""
+    import math
+    from collections import Counter, defaultdict
+
+    def symbols(text):
+        out = ["\0"]
+        for c in text + " ":
+            s = c.lower()[0] if c.isalpha() else "\0"
+            if s != "\0" or out[-1] != "\0":
+                out.append(s)
+        return out
+
+    def grams(text):
+        s = symbols(text)
+        return [(s[k - 2] if k > 1 else "\0", s[k - 1], s[k]) for k in range(1, len(s))]
+
+    tri = defaultdict(Counter)
+    for text, lang in rows:
+        tri[lang].update(grams(text))
+    alphabet = len({g[2] for c in tri.values() for g in c}) + 1
+
+    def discount(counts):
+        one, two = sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values())
+        return one / (one + 2 * two) if one and two else language_id.DISCOUNT
+
+    def model(counts):
+        f2 = Counter(g[1:] for g in counts)
+        f1 = Counter(p[1] for p in f2)
+        d3, d2, d1 = discount(counts), discount(f2), discount(f1)
+        t1, k1 = sum(f1.values()), len(f1)
+        t2, k2, t3, k3 = Counter(), Counter(), Counter(), Counter()
+        for p, n in f2.items():
+            t2[p[0]] += n
+            k2[p[0]] += 1
+        for g, n in counts.items():
+            t3[g[:2]] += n
+            k3[g[:2]] += 1
+
+        def p(g):
+            one = max(f1[g[2]] - d1, 0) / t1 + d1 * k1 / t1 / alphabet
+            two = max(f2[g[1:]] - d2, 0) / t2[g[1]] + d2 * k2[g[1]] / t2[g[1]] * one if t2[g[1]] else one
+            return max(counts[g] - d3, 0) / t3[g[:2]] + d3 * k3[g[:2]] / t3[g[:2]] * two if t3[g[:2]] else two
+
+        return p
+
+    models = {lang: model(c) for lang, c in tri.items()}
+
+    def entropy(lang, text):
+        own = grams(text)
+        return -sum(math.log(models[lang](g)) for g in own) / len(own)
+
+    return entropy
+
+
+@pytest.mark.parametrize("shard_entries", [50, 10**6])
+def test_language_models_against_brute_force(spark, shard_entries):
+    rng = random.Random(21)
+    rows = [("".join(rng.choice(TONGUES[t].split()) + rng.choice([" ", ". ", ""]) for _ in range(30)), t) for t in list(TONGUES) * 12]
+    rows += [("日本語の文 です", "jp"), ("яблоко ёж", "ru"), ("яблоко ёж", "ru")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string").repartition(3)
+    counted = [tuple(r) for r in df.where(~language_id._fold(df)).select("text", "lang").collect()]
+    entropy = brute_models(counted)
+    langs = sorted({lang for _, lang in counted})
+    models = language_id.fit(df, shard_entries)
+    assert models.langs == langs and (len(models.shards) > 5) == (shard_entries == 50)
+    odd = df.select("text").unionByName(spark.createDataFrame([("xyzzyabra Ärger жжя",), ("  ...b",), ("é",)], "text string"))
+    for r in language_id.identify(odd, models, keep=["text"]).collect():
+        want = {lang: entropy(lang, r["text"]) for lang in langs}
+        assert r["lang_pred"] == min(langs, key=want.get) and abs(r["cross_entropy"] - min(want.values())) < 1e-4
+
+
+def test_toxicity_scores_against_brute_force(spark, labelled, documents):
+    """Scores from the model's weights and n-grams taken one by one."""
+    import math
+
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    counts = np.zeros(language_id.GRAMS, np.int64)
-    a, b, c = rng.integers(0, 20, (3, 5000))
-    np.add.at(counts, (a * 128 + b) * 128 + c, 1)
-    p = language_id.kneser_ney(counts)[0].reshape(128 * 128, 128)
-    assert np.allclose(p.sum(axis=1), 1)
+    held = F.col("doc_id") % 3 == 1
+    model = toxicity.fit(labelled.select("doc_id", "text"), labelled.where(~held).select("doc_id", "toxic"))
+    rows = toxicity.score_documents(documents.unionByName(spark.createDataFrame([(900, "Zorkfool! " * 40_000)], "doc_id bigint, text string"), allowMissingColumns=True), model, keep=["doc_id", "text"]).collect()
+    one = lambda gram: [int(h[0]) for k, (h, _) in enumerate(toxicity._grams(*arrow(gram))) if len(gram) == toxicity.ORDERS[k]]
+
+    def arrow(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return raw, np.array([0, len(raw)])
+
+    for r in rows:
+        folded = []
+        for c in (r["text"] or "") + "\n":
+            s = c.lower()[0] if c.isalpha() else " "
+            if s != " " or not folded or folded[-1] != " ":
+                folded.append(s)
+        grams = {"".join(folded[k : k + n]) for n in toxicity.ORDERS for k in range(len(folded) - n + 1)}
+        slots = {int(model.slot[h]) for g in grams for h in one(g)} - {-1}
+        z = model.bias + sum(model.weight[k] for k in slots)
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-5, r["doc_id"]
 
 
 def test_quality_words_leave_the_document_out(spark):

@@ -60,6 +60,20 @@ def test_chat_round_trip(spark):
     assert got[91]["escaped"] and not got[0]["escaped"] and got[3]["escaped"] and got[4]["escaped"]
     assert "<|im_end|><|im_end|>" not in got[3]["formatted"]
     assert chat_format.format_conversations(df.limit(0)).count() == 0
+    for r in got.values():  # the mask covers the assistant's texts as they stand in the output
+        spans = [r["formatted"][m["begin"] : m["end"]] for m in r["loss_mask"]]
+        own = [t["text"] if t["role"] == "assistant" else "" for t in r["turns"]]
+        undone = [s.replace("\\p", "|").replace("\\b", "\\") if r["escaped"] else s for s in spans]
+        assert undone == own
+
+
+def test_mask_of_a_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"{t} é<|im_end|>" if t % 97 == 0 else f"text {t}") for t in range(1500)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    done = chat_format.format_conversations(df)
+    r = done.withColumn("loss", chat_format.under_mask(F.col("formatted"), F.col("loss_mask"))).first()
+    assert r["round_trip"] and "".join(r["loss"]) == "".join(x[3] for x in rows if x[2] == "assistant")
+    assert all(r["formatted"][m["base"] :].startswith(chat_format.START) for m in r["loss_mask"])
 
 
 def words(text):
