@@ -110,6 +110,11 @@ def latest_votes(audit: DataFrame, order: str) -> DataFrame:
     return audit.groupBy("task_id").agg(F.max_by("votes", order).alias("votes"))
 
 
+def voted(humans: DataFrame, audit: DataFrame) -> DataFrame:
+    """Labelled tasks with their votes; a task without votes is left out."""
+    return humans.join(audit.select("task_id", "votes"), "task_id")
+
+
 def labelled(candidates: DataFrame, humans: DataFrame, audit: DataFrame) -> DataFrame:
     """Tasks that have a candidate, a human label and votes; an error if a common task has no votes."""
     common = candidates.select("task_id").join(humans, "task_id")

@@ -11,6 +11,8 @@ from tessera.operators import bootstrap
 from tessera.operators.metrics import frontier
 
 CELL = ("provider", "model")
+# The task families.
+FAMILIES = ("needle", "swe_qa")
 
 
 def with_split(runs: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def with_split(runs: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def cells(runs: DataFrame, interval=bootstrap.bootstrap_ci, **options) -> DataFrame:
-    """A row for each provider and model: mean of per-task accuracies with its interval, token cost at 1 and 10,000 queries, median tokens."""
+    """A row for each provider and model: accuracy over records with the interval of the per-task accuracies, token cost at 1 and 10,000 queries, median tokens."""
     tasks = runs.groupBy(*CELL, "task_id").agg(F.avg("correct").alias("mean_correct"))
     ci = interval(tasks, "mean_correct", CELL, ["task_id"], **options).select(*CELL, "ci_low", "ci_high")
     each = runs.groupBy(*CELL).agg(
@@ -28,8 +30,7 @@ def cells(runs: DataFrame, interval=bootstrap.bootstrap_ci, **options) -> DataFr
         F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("_t"), F.sum("build_tokens").alias("_b"),
         F.median((F.col("input_tokens") + F.col("output_tokens") + F.col("build_tokens")).cast("double")).alias("median_tokens"),
     )
-    mean = tasks.groupBy(*CELL).agg(F.avg("mean_correct").alias("accuracy"))
-    out = each.join(mean, [*CELL]).join(ci, [*CELL])
+    out = each.withColumn("accuracy", F.col("_ok") / F.col("n_cells")).join(ci, [*CELL])
     return out.select(*CELL, "n_cells", "n_tasks", "accuracy", "ci_low", "ci_high", per_correct(F.col("_t") + F.col("_b"), F.col("_ok")).alias("tpca_1"), per_correct(F.col("_t") + F.col("_b") / 10_000, F.col("_ok")).alias("tpca_10000"), "median_tokens")
 
 
@@ -41,6 +42,12 @@ def leaderboard(runs: DataFrame, **options) -> DataFrame:
     return joined.select(*CELL, short_model(F.col("model")).alias("short_model"), *[c for c in table.columns if c not in CELL], F.coalesce("on_frontier", F.lit(False)).alias("on_frontier")).orderBy(F.desc("accuracy"), *CELL)
 
 
+def by_family(runs: DataFrame, **options) -> DataFrame:
+    """A leaderboard of its own, with its own frontier, for each task family of ``with_split``."""
+    boards = [leaderboard(runs.where(F.col("family") == f), **options).select(F.lit(f).alias("family"), "*") for f in FAMILIES]
+    return boards[0].unionByName(boards[1]).orderBy("family", F.desc("accuracy"), *CELL)
+
+
 def heldout_gap(runs: DataFrame, interval=bootstrap.bootstrap_ci, **options) -> DataFrame:
     """Public minus held-out accuracy; flagged when it is over twice a public interval that has a width. A missing side counts 0."""
     side = lambda split: runs.where(F.col("split") == split)
@@ -61,6 +68,26 @@ def to_markdown(board: DataFrame, title: str) -> str:
     return "\n".join(lines) + "\n"
 
 
+def gap_markdown(gap: DataFrame, title: str) -> str:
+    lines = [f"## {title}", "", "| method | public | held-out | Δ | flagged |", "|---|---|---|---|---|"]
+    for r in gap.orderBy(*CELL).collect():
+        lines.append(f"| {r['provider']} × {r['model'].split('.')[-1]} | {r['public']:.3f} | {r['heldout']:.3f} | {r['gap']:+.3f} | {'yes' if r['flagged'] else 'no'} |")
+    return "\n".join(lines) + "\n"
+
+
+def report(runs: DataFrame, **options) -> str:
+    """The tables of every family and split that has runs, and the gaps between the splits."""
+    parts = []
+    for family in FAMILIES:
+        of = runs.where(F.col("family") == family)
+        for split in ("public", "heldout"):
+            part = of.where(F.col("split") == split)
+            parts.append(f"No records for {family} ({split}).\n" if part.isEmpty() else to_markdown(leaderboard(part, **options), f"{family} ({split})"))
+        if not of.where(F.col("split") == "heldout").isEmpty():
+            parts.append(gap_markdown(heldout_gap(of, **options), f"{family}: public and held-out"))
+    return "\n".join(parts)
+
+
 def reproduces(first: DataFrame, second: DataFrame, tolerance: float = 0.10) -> DataFrame:
     """Per provider: whether either run's mean lies in the other's interval and accuracies agree.
 

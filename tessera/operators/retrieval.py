@@ -107,17 +107,21 @@ def pack(lines: DataFrame, cost: str, order: Sequence[str], budget: int, by: Seq
     return near.withColumn("used", used).where(F.col("used") <= budget)
 
 
-def link_rank(edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, every: int = 5) -> DataFrame:
+def link_rank(edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, every: int = 5, nodes: DataFrame | None = None) -> DataFrame:
     """node, rank after a fixed number of steps; the weight of nodes without a way out is lost.
 
-    ``edges`` (source, target) are distinct. Lineage is cut every few steps.
+    ``edges`` (source, target) are distinct; ``nodes`` (node) may add some without any. Without nodes there are no
+    rows. Lineage is cut every few steps.
     """
     edges = materialized(edges.select("source", "target"), "edges")
     out = edges.groupBy("source").agg(F.count(F.lit(1)).alias("degree"))
     weighted = materialized(edges.join(out, "source").select("source", "target", (1 / F.col("degree")).alias("weight")), "weights")
-    nodes = materialized(edges.select("source").union(edges.select("target")).toDF("node").distinct(), "nodes")
+    linked = edges.select("source").union(edges.select("target")).toDF("node")
+    nodes = materialized((linked.union(nodes.select("node")) if nodes is not None else linked).distinct(), "nodes")
     n = nodes.count()
-    rank = nodes.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
+    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    if not n:
+        return rank
     for step in range(1, iterations + 1):
         given = weighted.join(rank.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("weight") * F.col("rank")).alias("given"))
         rank = nodes.join(given, "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
@@ -135,15 +139,23 @@ def reference_edges(references: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def symbol_map(references: DataFrame, symbols: DataFrame, budget: int = MAP_BUDGET, counter: Callable[[Column], Column] = count_tokens) -> DataFrame:
     """The lines of a repository map in order: symbols (file, name, signature, summary) by their file's
-    link rank, a header before each file, packed to the budget. A header's cost counts before the check."""
-    ranks = link_rank(reference_edges(references, symbols))
+    link rank, a header before each file, packed to the budget. A header's cost counts before the check.
+    Every file that defines or mentions something has a rank, links or not."""
+    files = references.select("file").union(symbols.select("file")).where("file IS NOT NULL").distinct().toDF("node")
+    ranks = link_rank(reference_edges(references, symbols), nodes=files)
     line = F.concat(F.lit("  "), F.col("signature"), F.when(F.col("summary") != "", F.concat(F.lit("  — "), F.col("summary"))).otherwise(F.lit("")), F.lit("\n"))
     ordered = symbols.join(ranks.toDF("file", "rank"), "file", "left").select("file", "name", line.alias("line"), F.coalesce("rank", F.lit(0.0)).alias("rank"))
     place = Window.orderBy(F.desc("rank"), "file", "name")
     near = ordered.orderBy(F.desc("rank"), "file", "name").limit(budget)
     fresh = F.coalesce(F.lag("file").over(place) != F.col("file"), F.lit(True))
     headed = near.withColumn("text", F.concat(F.when(fresh, F.concat(F.lit("\n# file: "), F.col("file"), F.lit("\n"))).otherwise(F.lit("")), F.col("line")))
-    return headed.withColumn("used", F.sum(counter(F.col("text"))).over(place.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
+    placed = headed.withColumn("place", F.row_number().over(place))
+    return placed.withColumn("used", F.sum(counter(F.col("text"))).over(place.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
+
+
+def chunk_build_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Cost of an index of chunks: the tokens of all of them."""
+    return chunks(docs, text).agg(F.coalesce(F.sum("chunk_tokens"), F.lit(0)).cast("bigint").alias("build_tokens"))
 
 
 def head_of_dump(docs: DataFrame, by: Sequence[str], order: Sequence[str], text: str = "text", budget: int = DUMP_BUDGET) -> DataFrame:
@@ -156,15 +168,28 @@ def head_of_dump(docs: DataFrame, by: Sequence[str], order: Sequence[str], text:
 
 
 def containing(docs: DataFrame, needles: DataFrame, key: str, needle_key: str) -> DataFrame:
-    """Pairs of a text and a needle that it holds in any case. The needles are a stated query set, read in blocks."""
+    """Pairs of a text and a needle that it holds in any case. The needles are a stated query set, read in blocks.
+
+    A word inside a needle, with other characters on both sides, is a whole word of every text that holds it: a text is
+    compared with the needles whose longest such word it has, and with the few that have none.
+    """
     total = needles.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // QUERY_BYTES))
+    word = r"[\p{L}\p{N}_]+"
+    words = lambda c: F.regexp_extract_all(c, F.lit(word), F.lit(0))
+    low = needles.select(needle_key, F.lower("text").alias("t"))
+    inner = words(F.regexp_replace("t", rf"^{word}|{word}$", " "))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    low = low.withColumn("probe", longest)
     out = None
     for block in range(blocks):
-        part = needles.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else needles
-        listed = part.agg(F.collect_list(F.struct(F.col(needle_key), F.lower("text").alias("t"))).alias("x")).scalar()
-        held = docs.select(key, F.lower("text").alias("_t")).withColumn("_q", F.explode(listed)).where(F.contains("_t", F.col("_q.t")))
-        found = held.select(key, F.col(f"_q.{needle_key}").alias(needle_key))
+        part = low.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block) if blocks > 1 else low
+        probes = F.coalesce(part.where("probe IS NOT NULL").agg(F.collect_set("probe")).scalar(), F.array().cast("array<string>"))
+        text = docs.select(key, F.lower("text").alias("_t"))
+        near = text.withColumn("probe", F.explode(F.array_intersect(words(F.col("_t")), probes))).join(F.broadcast(part), "probe")  # a block is at most QUERY_BYTES
+        bare = part.where("probe IS NULL AND t IS NOT NULL").agg(F.collect_list(F.struct(F.col(needle_key), "t"))).scalar()
+        rest = text.withColumn("_q", F.explode(bare)).select(key, "_t", F.col(f"_q.{needle_key}").alias(needle_key), F.col("_q.t").alias("t"))
+        found = near.select(key, "_t", needle_key, "t").unionByName(rest).where(F.contains("_t", F.col("t"))).select(key, needle_key)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -36,9 +36,12 @@ def completed_keys(runs: DataFrame, keys: Sequence[str] = CELL_KEY, **equals: ob
 
 
 def resumable(runs: DataFrame, providers: Sequence[str], models: Sequence[str], repeats: int, **equals: object) -> DataFrame:
-    """Rows of a sweep that is being resumed."""
-    chosen = select_runs(runs, order=None, **equals)
-    return chosen.where(F.col("provider").isin(*providers) & F.col("model").isin(*models) & (F.col("repeat") < repeats))
+    """Rows of a sweep that is being resumed; an empty list of providers or models keeps all."""
+    chosen = select_runs(runs, order=None, **equals).where(F.col("repeat") < repeats)
+    for column, values in (("provider", providers), ("model", models)):
+        if values:
+            chosen = chosen.where(F.col(column).isin(*values))
+    return chosen
 
 
 def exclude_pairs(runs: DataFrame, pairs: Sequence[tuple[str, str]], columns: tuple[str, str] = ("provider", "model")) -> DataFrame:
@@ -96,6 +99,38 @@ def sweep(tasks: DataFrame, done: DataFrame, context: Callable[[DataFrame], Data
     return execute(pending(task_grid(tasks, providers, models, repeats), done, keys), context)
 
 
+def cell_count(n_tasks: int, providers: Sequence[str], models: Sequence[str], repeats: int) -> int:
+    return n_tasks * len(providers) * len(models) * repeats
+
+
+def as_records(executed: DataFrame, dataset_version: str, harness_version: str, scorer: str = "auto_contains") -> DataFrame:
+    """Run cells as run records: an id of their own, the time, latency and the nested parts.
+
+    Ids and times are new whenever the plan runs, so write the records before they are used twice.
+    """
+    of = lambda name, default: F.col(name) if name in executed.columns else F.lit(default)
+    telemetry = F.struct(
+        *[F.col(c).cast("bigint").alias(f"{c}_norm") for c in ("input_tokens", "output_tokens", "cache_tokens", "build_tokens")], of("native_input", 0).cast("bigint").alias("native_input"),
+        of("native_output", 0).cast("bigint").alias("native_output"), of("latency_ms", 0).cast("bigint").alias("latency_ms"), of("trace_uri", "").alias("trace_uri"),
+    )
+    return executed.select(
+        F.uuid().alias("run_id"), "task_id", F.lit(dataset_version).alias("dataset_version"), F.lit(harness_version).alias("harness_version"),
+        F.struct(F.col("provider").alias("name"), of("provider_version", "0.1.0").alias("version"), F.parse_json(F.lit("{}")).alias("config")).alias("provider"),
+        "model", F.col("repeat").cast("bigint").alias("repeat"), F.col("seed").cast("bigint").alias("seed"), telemetry.alias("telemetry"),
+        F.struct((F.col("correct") == 1).alias("correct"), F.col("correct").cast("double").alias("raw"), F.lit(scorer).alias("scorer")).alias("score"), F.current_timestamp().alias("timestamp"),
+    )
+
+
+def methods(runs: DataFrame, column: str) -> DataFrame:
+    """The distinct providers or models, in order."""
+    return runs.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+
+
+def missing_examples(grid: DataFrame, done: DataFrame, keys: Sequence[str], n: int = 3) -> DataFrame:
+    """The first cells that a sweep lacks."""
+    return pending(grid, done, keys).select(*keys).orderBy(*keys).limit(n)
+
+
 def one_cell(runs: DataFrame, task_id: str) -> DataFrame:
     """The rows of one task; an error names what there is if it is unknown."""
     found = runs.where(F.col("task_id") == task_id)

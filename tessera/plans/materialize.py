@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir("/tmp/tessera-checkpoints")  # only where none is set, as in tests
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir("/tmp/tessera-checkpoints")  # one machine, as in tests
         folder = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

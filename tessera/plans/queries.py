@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.numeric import required_sample
-from tessera.operators import audit, bootstrap, calibration, leaderboard, metrics, retrieval, splits, store, usage
+from tessera.operators import audit, bootstrap, calibration, judge, leaderboard, metrics, providers, retrieval, splits, store, usage
 from tessera.plans import bridge
+from tessera.plans.materialize import scratch_path
+from tessera.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -275,7 +277,7 @@ each AS (
   SELECT provider, model, count(*) AS n_cells, count(DISTINCT task_id) AS n_tasks, CASE WHEN sum(correct) = 0 THEN 'infinity'::DOUBLE ELSE sum(input_tokens + output_tokens + build_tokens)::DOUBLE / sum(correct) END AS tpca_1,
     CASE WHEN sum(correct) = 0 THEN 'infinity'::DOUBLE ELSE (sum(input_tokens + output_tokens) + sum(build_tokens) / 10000.0::DOUBLE) / sum(correct) END AS tpca_10000,
     quantile_cont((input_tokens + output_tokens + build_tokens)::DOUBLE, 0.5) AS median_tokens FROM chosen GROUP BY provider, model),
-board AS (SELECT * FROM each JOIN (SELECT provider, model, avg(mean_correct) AS accuracy FROM task_means GROUP BY provider, model) USING (provider, model) JOIN ci_rows USING (provider, model))
+board AS (SELECT * FROM each JOIN (SELECT provider, model, avg(correct) AS accuracy FROM chosen GROUP BY provider, model) USING (provider, model) JOIN ci_rows USING (provider, model))
 SELECT provider, model, split_part(model, '.', -1) AS short_model, n_cells, n_tasks, round(accuracy, 6) AS accuracy, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(tpca_1, 4) AS tpca_1,
   round(tpca_10000, 4) AS tpca_10000, median_tokens, accuracy > 0 AND NOT EXISTS (
     SELECT 1 FROM board q WHERE q.accuracy > 0 AND q.tpca_1 <= p.tpca_1 AND q.accuracy >= p.accuracy AND (q.tpca_1 < p.tpca_1 OR q.accuracy > p.accuracy)) AS on_frontier
@@ -595,3 +597,209 @@ def identifier_edges(spark, sf_dir):
 def task_families(spark, sf_dir):
     docs = bridge.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(T.repo_of_task(F.col("source")).cast("binary")).alias("repo_md5"), T.task_family(F.col("source")).alias("family"))
+
+
+@query(f"""WITH {bridge.RUNS}, fam AS (SELECT *, CASE WHEN repeat < 3 THEN 'needle' ELSE 'swe_qa' END AS family FROM runs),
+task_means AS (SELECT family, provider, model, task_id, avg(correct) AS mean_correct FROM fam GROUP BY ALL), {_ci_sql("task_means", "family, provider, model", "task_id", "mean_correct")},
+board AS (SELECT family, provider, model, avg(correct) AS accuracy, sum(input_tokens + output_tokens + build_tokens)::DOUBLE / sum(correct) AS tpca_1 FROM fam GROUP BY ALL)
+SELECT family, provider, model, round(accuracy, 9) AS accuracy, round(ci_low, 9) AS ci_low, round(ci_high, 9) AS ci_high, accuracy > 0 AND NOT EXISTS (
+  SELECT 1 FROM board q WHERE q.family = p.family AND q.accuracy > 0 AND q.tpca_1 <= p.tpca_1 AND q.accuracy >= p.accuracy AND (q.tpca_1 < p.tpca_1 OR q.accuracy > p.accuracy)) AS on_frontier
+FROM board p JOIN ci_rows USING (family, provider, model)""")
+def leaderboard_by_family(spark, sf_dir):
+    runs = bridge.runs(spark, sf_dir).withColumn("family", F.when(F.col("repeat") < 3, "needle").otherwise("swe_qa"))
+    board = leaderboard.by_family(runs, interval=bootstrap.hashed_ci)
+    return rounded(board.select("family", "provider", "model", "accuracy", "ci_low", "ci_high", "on_frontier"), 9, "accuracy", "ci_low", "ci_high")
+
+
+# Providers.
+
+_TASKS_SQL = "asks AS (SELECT item_id AS task_id, coalesce(text, '') AS question, CASE WHEN length(coalesce(text, '')) % 2 = 0 THEN 'llm_judge' ELSE 'auto_contains' END AS scoring FROM benchmark)"
+
+
+def _tasks(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    scoring = F.when(F.length(text) % 2 == 0, "llm_judge").otherwise("auto_contains")
+    return bridge.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), text.alias("question"), scoring.alias("scoring"), F.substr(text, F.lit(1), F.lit(8)).alias("gold"))
+
+
+def _asked_sql(context: str) -> str:
+    escaped = lambda t: t.replace("'", "''")
+    return f"""CASE WHEN scoring = 'llm_judge' THEN '{escaped(providers.FREEFORM)}' ELSE '{escaped(providers.STANDARD)}' END || chr(10) || chr(10) || '<context>' || chr(10) || {context} || chr(10) || '</context>'
+  || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:'"""
+
+
+def _shown(prompts: DataFrame) -> DataFrame:
+    return prompts.select("task_id", "provider", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), "input_tokens", "build_tokens")
+
+
+def _provider_sql(name: str, prompt: str, build: str = "0") -> str:
+    return f"p AS (SELECT task_id, {prompt} AS text FROM asks) SELECT task_id, '{name}' AS provider, md5(text) AS prompt_md5, {_COUNT} AS input_tokens, {build}::BIGINT AS build_tokens FROM p"
+
+
+@query(f"WITH {_TASKS_SQL}, {_provider_sql('zero-context', _asked_sql(chr(39) * 2))}")
+def zero_context_prompts(spark, sf_dir):
+    return _shown(providers.zero_context(_tasks(spark, sf_dir)))
+
+
+_GAMED = f"'Question restatement: ' || question || chr(10) || 'Likely candidates: {', '.join(providers.COMMON_IDENTIFIERS)}.' || chr(10) || '{providers.JUDGE_NOTE}'"
+
+
+@query(f"WITH {_TASKS_SQL}, {_provider_sql('exploit-baseline', _asked_sql(_GAMED))}")
+def exploit_prompts(spark, sf_dir):
+    return _shown(providers.exploit_baseline(_tasks(spark, sf_dir)))
+
+
+def _mock_sql(name: str) -> str:
+    build, words = providers.MOCKS[name]
+    prompt = f"""'You are answering a question about a codebase.' || chr(10) || 'GOLD: ' || substr(question, 1, 8) || chr(10) || 'CONTEXT:' || chr(10) || rtrim(repeat('word ', {words})) || chr(10) || 'QUESTION: ' || question || chr(10) || 'ANSWER:'"""
+    return f"SELECT task_id, '{name}' AS provider, md5(text) AS prompt_md5, {_COUNT} AS input_tokens, {build}::BIGINT AS build_tokens FROM (SELECT task_id, {prompt} AS text FROM asks)"
+
+
+@query(f"WITH {_TASKS_SQL} " + " UNION ALL ".join(_mock_sql(n) for n in providers.MOCKS))
+def mock_prompts(spark, sf_dir):
+    tasks = _tasks(spark, sf_dir)
+    parts = [_shown(providers.mock(tasks, n)) for n in providers.MOCKS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_FILES_SQL = "files AS (SELECT 'f' || lpad(doc_id::VARCHAR, 8, '0') AS file, text FROM documents WHERE doc_id < 40 AND text IS NOT NULL)"
+
+
+def _files(spark, sf_dir):
+    """Forty documents stand for the files of a repository."""
+    docs = bridge.table(spark, sf_dir, "documents").where("doc_id < 40 AND text IS NOT NULL")
+    return docs.select(F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("file"), "text")
+
+
+@query(f"WITH {_TASKS_SQL}, {_FILES_SQL}, dump AS (SELECT coalesce(string_agg('# file: ' || file || chr(10) || text, chr(10) || chr(10) ORDER BY file), '') AS all_text FROM files), {_provider_sql('raw-dump', _asked_sql('(SELECT all_text FROM dump)'))}")
+def raw_dump_prompts(spark, sf_dir):
+    """A repository that lies within the budget; ``raw_dump_truncate`` has the cut."""
+    return _shown(providers.raw_dump(_tasks(spark, sf_dir), _files(spark, sf_dir), budget=10_000_000))
+
+
+@query()
+def rag_prompts(spark, sf_dir):
+    """Chunked, ranked, joined and asked; held against brute force in the tests."""
+    return _shown(providers.rag(_tasks(spark, sf_dir), _files(spark, sf_dir)))
+
+
+@query(f"WITH {_FILES_SQL}, c AS (SELECT {_COUNT} AS n FROM files), w AS (SELECT least(200, n - i * 160) AS t FROM c, LATERAL (SELECT unnest(range(0, 1 + greatest(ceil((n - 200) / 160.0), 0)::BIGINT)) AS i) WHERE n > 0) SELECT coalesce(sum(t), 0)::BIGINT AS build_tokens FROM w")
+def chunk_build_cost(spark, sf_dir):
+    return retrieval.chunk_build_tokens(_files(spark, sf_dir))
+
+
+# Judge.
+
+
+def _judge_answer(prompt, k):
+    """The offline judge: scores from a hash of the prompt, at times no JSON at all."""
+    digit = lambda n: (F.ascii(F.substr(F.md5(prompt.cast("binary")), F.lit(n), F.lit(1))) % 3).cast("string")
+    body = F.concat(F.lit('{"correctness": '), digit(1), F.lit(', "completeness": '), digit(2), F.lit(', "faithfulness": '), digit(3), F.lit("}"))
+    return F.when(F.ascii(F.substr(F.md5(prompt.cast("binary")), F.lit(4), F.lit(1))) % 7 == 0, F.lit("no verdict")).otherwise(body)
+
+
+@query(f"""WITH {_TASKS_SQL}, v AS (SELECT task_id, k, 'Judge the candidate against the reference.' || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Reference: ' || substr(question, 1, 8) || chr(10) || 'Candidate: ' || 'an answer'
+    || chr(10) || chr(10) || '[vote-salt: ' || substr(sha256('run-1|' || task_id::VARCHAR || '|' || k::VARCHAR), 1, 16) || ']' AS prompt FROM asks, range(5) t(k) WHERE scoring = 'llm_judge'),
+s AS (SELECT task_id, k, ascii(substr(md5(prompt), 4, 1)) % 7 = 0 AS bad, ascii(substr(md5(prompt), 1, 1)) % 3 AS a, ascii(substr(md5(prompt), 2, 1)) % 3 AS b, ascii(substr(md5(prompt), 3, 1)) % 3 AS c FROM v),
+j AS (SELECT task_id, count(*) FILTER (NOT bad AND a >= 1 AND b >= 1 AND c >= 1) AS pass_count, count(*) FILTER (bad) AS parse_errors FROM s GROUP BY task_id)
+SELECT task_id, pass_count, parse_errors, pass_count > 2 AS correct, round(pass_count / 5.0::DOUBLE, 9) AS raw, 'run-1.jsonl' AS trace_uri FROM j""")
+def judge_votes(spark, sf_dir):
+    tasks = _tasks(spark, sf_dir).where("scoring = 'llm_judge'").withColumn("reference", F.col("gold")).withColumn("candidate", F.lit("  an answer\n"))
+    done = judge.judged(tasks, _judge_answer, judge_model="vendor.judge", answering=bridge.MODELS, run="run-1", n_votes=5)
+    errors = F.size(F.filter("votes", lambda v: v["parse_error"])).cast("bigint")
+    return rounded(done.select("task_id", F.col("pass_count").cast("bigint").alias("pass_count"), errors.alias("parse_errors"), "correct", "raw", "trace_uri"), 9, "raw")
+
+
+@query(f"WITH {bridge.VOTES} SELECT task_id, human, 3::BIGINT AS n_votes FROM (SELECT DISTINCT task_id, human FROM vote_rows) WHERE ('0x' || substr(md5(task_id), 1, 1))::INT < 8")
+def votes_or_skip(spark, sf_dir):
+    """Labelled tasks with votes; those whose votes are missing are left out."""
+    audited = bridge.audited(spark, sf_dir)
+    some = audited.where(F.conv(F.substr(F.md5(F.col("task_id").cast("binary")), F.lit(1), F.lit(1)), 16, 10).cast("int") < 8)
+    return calibration.voted(audited.select("task_id", "human"), some).select("task_id", "human", F.size("votes").cast("bigint").alias("n_votes"))
+
+
+@query(f"WITH {bridge.RUNS} SELECT DISTINCT 'provider' AS kind, provider AS name FROM runs UNION ALL SELECT DISTINCT 'model', model FROM runs")
+def method_lists(spark, sf_dir):
+    runs = bridge.runs(spark, sf_dir)
+    return store.methods(runs, "provider").select(F.lit("provider").alias("kind"), F.col("provider").alias("name")).union(store.methods(runs, "model").select(F.lit("model"), "model"))
+
+
+@query(f"""WITH {bridge.RUNS}, {_TASK_ROWS}, {_GRID} SELECT task_id, provider, model, repeat FROM grid g
+WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.task_id = g.task_id AND r.provider = g.provider AND r.model = g.model AND r.repeat = g.repeat AND r.ts < '1995-01-01') ORDER BY task_id, provider, model, repeat LIMIT 3""")
+def missing_cells(spark, sf_dir):
+    return store.missing_examples(_grid(spark), bridge.runs(spark, sf_dir).where("ts < '1995-01-01'"), ["task_id", "provider", "model", "repeat"])
+
+
+# Sources and sinks: written to the shared folder and read back.
+
+
+def _records(spark, sf_dir):
+    runs = bridge.runs(spark, sf_dir).withColumn("cache_tokens", F.lit(0))
+    records = store.as_records(runs.withColumn("seed", F.col("repeat") + 1), "1.0.0", "0.1.0").drop("run_id", "timestamp")
+    return records.withColumn("run_id", F.concat_ws("/", "task_id", "provider.name", "model", F.col("repeat").cast("string"))).withColumn("timestamp", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+
+
+_FLAT = "run_id, task_id, provider AS provider_name, model, repeat, repeat + 1 AS seed, input_tokens AS input_tokens_norm, build_tokens AS build_tokens_norm, correct, correct::DOUBLE AS score_raw, '2024-01-02T03:04:05.000000+00:00' AS timestamp"
+_FLAT_COLUMNS = ["run_id", "task_id", "provider_name", "model", "repeat", "seed", "input_tokens_norm", "build_tokens_norm", "correct", "score_raw", "timestamp"]
+
+
+@query(f"WITH {bridge.RUNS} SELECT {_FLAT} FROM runs")
+def run_record_files(spark, sf_dir):
+    """Appended as JSON lines to two stores, which are scanned together and flattened."""
+    first, second = scratch_path(spark, "runs"), scratch_path(spark, "runs")
+    records = _records(spark, sf_dir)
+    sinks.append_records(records.where("repeat < 2"), first)
+    sinks.append_records(records.where("repeat >= 2"), second)
+    return store.flatten(readers.run_records(spark, [first, second])).select(*_FLAT_COLUMNS)
+
+
+@query(f"WITH {bridge.RUNS} SELECT {_FLAT} FROM runs WHERE provider = 'bm25'")
+def mirror_files(spark, sf_dir):
+    """Ingested twice, once in part, exported and selected by the provider."""
+    mirror, copy = scratch_path(spark, "mirror"), scratch_path(spark, "export")
+    records = _records(spark, sf_dir)
+    sinks.ingest(mirror, records.where("repeat < 3"))
+    sinks.ingest(mirror, records)
+    sinks.export(spark.read.parquet(mirror), copy)
+    return store.select_runs(spark.read.parquet(copy), order="run_id", provider_name="bm25", model=None).select(*_FLAT_COLUMNS)
+
+
+@query("SELECT 'm' || (doc_id % 3)::VARCHAR AS model, count(*) AS calls, sum(doc_id)::BIGINT AS input_tokens, sum(2 * doc_id)::BIGINT AS total_tokens FROM labels WHERE doc_id % 2 = 0 GROUP BY 1")
+def usage_files(spark, sf_dir):
+    """Usage lines appended by date, one day of them read."""
+    folder = scratch_path(spark, "usage")
+    ts = F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-03 10:00:00")).otherwise(F.lit("2024-01-04 11:00:00")).cast("timestamp")
+    zero = F.lit(0).cast("bigint")
+    log = bridge.table(spark, sf_dir, "labels").select(ts.alias("ts"), F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"), F.col("doc_id").cast("bigint").alias("input_tokens"), F.col("doc_id").cast("bigint").alias("output_tokens"), zero.alias("cache_read"), zero.alias("cache_creation"), zero.alias("latency_ms"), F.lit("r").alias("response_id"))
+    sinks.append_usage(log, folder)
+    day = readers.usage_log(spark, folder, "2024-01-03")
+    return day.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("total_tokens").alias("total_tokens"))
+
+
+@query("SELECT 'doc-' || lpad(doc_id::VARCHAR, 8, '0') AS task_id, quality = 1 AS human FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)")
+def label_files(spark, sf_dir):
+    """Human labels appended as JSON lines and read with the last of each task."""
+    path = scratch_path(spark, "labels")
+    rows = bridge.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    label = F.when(F.col("quality") == 1, "Pass").otherwise(" fail ")
+    sinks.append_records(rows.select(F.format_string("doc-%08d", "doc_id").alias("task_id"), label.alias("label"), F.lit("a1").alias("annotator_id")), path)
+    return readers.human_labels(spark, path).select("task_id", "human")
+
+
+@query("SELECT 'item-' || item_id::VARCHAR AS task_id, md5(coalesce(text, '')) AS candidate_md5 FROM benchmark")
+def candidate_files(spark, sf_dir):
+    path = scratch_path(spark, "candidates")
+    rows = bridge.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("task_id"), F.coalesce("text", F.lit("")).alias("candidate"), F.lit("s").alias("source"))
+    sinks.append_records(rows, path)
+    return readers.candidates(spark, path).select("task_id", F.md5(F.col("candidate").cast("binary")).alias("candidate_md5"))
+
+
+@query(f"WITH {_SPLIT} SELECT split, task_id, coalesce(lang, '') || ',' || coalesce(source, '') AS strata FROM assigned")
+def manifest_files(spark, sf_dir):
+    """Split manifests written and read back, one split at a time."""
+    folder = scratch_path(spark, "manifests")
+    assigned = split_assign(spark, sf_dir).select("task_id", "split", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    sinks.write_manifests(assigned, folder, ["lang", "source"])
+    parts = [readers.manifest(spark, f"{folder}/split={s}").select(F.lit(s).alias("split"), "task_id", F.array_join("strata", ",").alias("strata")) for s in ("public", "heldout")]
+    return parts[0].unionByName(parts[1])
+

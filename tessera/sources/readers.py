@@ -19,7 +19,7 @@ HASH_EXCLUDED = (".git", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_c
 COMMON_NAMES = ("__init__", "__repr__", "__str__", "__eq__", "__hash__", "__call__", "__getitem__", "__setitem__", "__len__", "main", "setup")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
     return found is not None and len(found) > 0
@@ -33,14 +33,14 @@ def run_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def usage_log(spark: SparkSession, folder: str, date: str) -> DataFrame:
     """One day's usage lines; malformed ones are skipped and a missing day is empty."""
     path = f"{folder}/date={date}"
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schemas.USAGE)
     return spark.read.schema(schemas.USAGE).option("mode", "DROPMALFORMED").json(path)
 
 
 def judge_audit(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Rows of the judge logs with their uri and order; missing files are ignored and a file with any malformed line counts for nothing."""
-    there = [p for p in dict.fromkeys(paths) if _exists(spark, p)]
+    there = [p for p in dict.fromkeys(paths) if path_exists(spark, p)]
     empty = spark.createDataFrame([], f"{schemas.JUDGE_AUDIT}, uri string, seq bigint")
     if not there:
         return empty
@@ -100,7 +100,7 @@ def questions(spark: SparkSession, path: str, pins: DataFrame, version: str = "1
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """task_id and strata of a split manifest; comments are skipped and a missing file is empty."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "task_id string, strata array<string>")
     lines = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(value, '#')")
     cut = F.split("value", "\t", 2)
@@ -201,7 +201,7 @@ def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def digests(spark: SparkSession, path: str) -> dict[str, str]:
     """The image digest of each repository; a missing file gives none."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return {}
     row = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string, string>").alias("m")).first()
     return dict(row["m"] or {})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.store import flatten, new_rows
 from tessera.operators.usage import with_total
+from tessera.sources.readers import path_exists
 
 
 def append_records(records: DataFrame, path: str) -> None:
@@ -16,16 +17,13 @@ def append_records(records: DataFrame, path: str) -> None:
 
 def ingest(mirror_path: str, records: DataFrame) -> int:
     """Append to the mirror the records that it lacks, flattened; returns how many those are."""
-    from pyspark.errors import AnalysisException
+    from tessera.plans.materialize import materialized
 
-    flat = flatten(records)
-    try:
-        mirror = records.sparkSession.read.schema(flat.schema).parquet(mirror_path)
-        before = mirror.count()
-    except AnalysisException:
-        mirror, before = flat.limit(0), 0
-    new_rows(mirror, flat).write.mode("append").parquet(mirror_path)
-    return records.sparkSession.read.parquet(mirror_path).count() - before
+    spark, flat = records.sparkSession, flatten(records)
+    mirror = spark.read.schema(flat.schema).parquet(mirror_path) if path_exists(spark, mirror_path) else flat.limit(0)
+    fresh = materialized(new_rows(mirror, flat), "ingest")
+    fresh.write.mode("append").parquet(mirror_path)
+    return fresh.count()
 
 
 def export(mirror: DataFrame, path: str) -> bool:
@@ -48,8 +46,12 @@ def write_manifests(assigned: DataFrame, folder: str, strata: list[str]) -> dict
     return {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
 
 
-def write_sample(sample: DataFrame, path: str) -> None:
-    sample.write.mode("overwrite").json(path)
+def write_sample(sample: DataFrame, path: str, header: tuple[str, ...] = ()) -> None:
+    """JSON lines after comment lines: a sample is small, so it is one file."""
+    spark = sample.sparkSession
+    lines = spark.createDataFrame([(k, f"# {x}") for k, x in enumerate(header)], "place bigint, value string")
+    body = sample.select(F.lit(len(header)).cast("bigint").alias("place"), F.to_json(F.struct("*")).alias("value"))
+    lines.unionByName(body).coalesce(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(path)
 
 
 def report_json(summary: DataFrame, path: str) -> None:
