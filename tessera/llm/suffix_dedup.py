@@ -83,8 +83,8 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def _places(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors and cut places of consecutive texts."""
+def _places(raw: np.ndarray, bounds: np.ndarray, anchors: bool = True, cuts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and cut places of consecutive texts, as far as they are wanted."""
     n = len(bounds) - 1
     sizes = np.diff(bounds)
     doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
@@ -98,52 +98,69 @@ def _places(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h = np.minimum(_gram_hash(gapped), _TOP - np.uint32(1))
     whole = left >= GRAM
     order[spread[whole]] = h[spread[whole]]
-    width = _REACH + 1
-    least = _least(order, width)
-    in_string = np.zeros(room, np.uint32)
-    full = spread[left >= LENGTH]
-    in_string[full] = least[full]
-    most = ~_least(~np.concatenate([np.zeros(width - 1, np.uint32), in_string]), width)
     own = order[spread]
-    anchors = np.nonzero((most[spread] == own) & whole)[0]
-    near = _least(np.concatenate([np.full(RADIUS, _TOP, np.uint32), order, np.full(RADIUS, _TOP, np.uint32)]), RADIUS)
-    cut = (near[spread + RADIUS] == own) & (near[spread] > own) & whole  # so cuts are over RADIUS apart
-    cut[bounds[:-1][sizes > 0]] = True
-    return anchors, np.nonzero(cut)[0]
-
-
-def _places_of_one(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = cut = np.empty(0, np.int64)
+    if anchors:
+        width = _REACH + 1
+        least = _least(order, width)
+        in_string = np.zeros(room, np.uint32)
+        full = spread[left >= LENGTH]
+        in_string[full] = least[full]
+        most = ~_least(~np.concatenate([np.zeros(width - 1, np.uint32), in_string]), width)
+        found = np.nonzero((most[spread] == own) & whole)[0]
+    if cuts:
+        near = _least(np.concatenate([np.full(RADIUS, _TOP, np.uint32), order, np.full(RADIUS, _TOP, np.uint32)]), RADIUS)
+        here = (near[spread + RADIUS] == own) & (near[spread] > own) & whole  # so cuts are over RADIUS apart
+        here[bounds[:-1][sizes > 0]] = True
+        cut = np.nonzero(here)[0]
+    return found, cut
+
+
+def _places_of_one(raw: np.ndarray, anchors: bool = True, cuts: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """``_places`` of one long text, by overlapping pieces."""
     found: tuple[list, list] = [], []
     for a in range(0, len(raw), RUN_BYTES):
         low, high = max(0, a - _MARGIN), min(len(raw), a + RUN_BYTES + _MARGIN)
-        for out, at in zip(found, _places(raw[low:high], np.array([0, high - low])), strict=True):
+        for out, at in zip(found, _places(raw[low:high], np.array([0, high - low]), anchors, cuts), strict=True):
             at = at + low
             out.append(at[(at >= a) & (at < a + RUN_BYTES)])
     return np.concatenate(found[0]), np.concatenate(found[1])
 
 
-class Marks:
-    """Anchors and units of consecutive texts; positions count over all of them."""
+def _found(raw: np.ndarray, bounds: np.ndarray, anchors: bool = True, cuts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    long = len(bounds) == 2 and len(raw) > 2 * RUN_BYTES
+    return _places_of_one(raw, anchors, cuts) if long else _places(raw, bounds, anchors, cuts)
+
+
+class Anchors:
+    """Anchors of consecutive texts; positions count over all of them."""
+
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, at: np.ndarray | None = None):
+        self.at = _found(raw, bounds, cuts=False)[0] if at is None else at
+        self.doc = np.searchsorted(bounds, self.at, side="right") - 1
+        self.hash = shingles.span_hash(raw, self.at, np.full(len(self.at), GRAM))
 
-    def __init__(self, raw: np.ndarray, bounds: np.ndarray):
-        self.anchors, self.starts = _places_of_one(raw) if len(bounds) == 2 and len(raw) > 2 * RUN_BYTES else _places(raw, bounds)
-        self.doc_of_start = np.searchsorted(bounds, self.starts, side="right") - 1
-        self.doc_of_anchor = np.searchsorted(bounds, self.anchors, side="right") - 1
-        stops = np.append(self.starts[1:], len(raw))
-        ends = bounds[1:][self.doc_of_start] if len(self.starts) else stops[:0]
-        self.stops = np.minimum(np.minimum(stops[: len(self.starts)], ends) + LENGTH - 1, ends)
+
+class Units:
+    """Units of consecutive texts, with 128 bits of each one's hash; positions count over all texts."""
+
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, starts: np.ndarray | None = None):
+        self.starts = _found(raw, bounds, anchors=False)[1] if starts is None else starts
+        self.doc = np.searchsorted(bounds, self.starts, side="right") - 1
+        ends = bounds[1:][self.doc] if len(self.starts) else self.starts
+        self.stops = np.minimum(np.minimum(np.append(self.starts[1:], len(raw))[: len(self.starts)], ends) + LENGTH - 1, ends)
         data = memoryview(np.ascontiguousarray(raw))
-        self.units = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(self.starts.tolist(), self.stops.tolist(), strict=True)]
-        halves = np.frombuffer(b"".join(self.units), np.uint64).reshape(-1, 2)
-        self.unit_hash, self.unit_more = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
-        self.anchor_hash = shingles.span_hash(raw, self.anchors, np.full(len(self.anchors), GRAM))
-        # Strings with an anchor may start in its unit or in the one before.
-        unit = np.searchsorted(self.starts, self.anchors, side="right") - 1
-        early = np.searchsorted(self.starts, np.maximum(self.anchors - _REACH, bounds[:-1][self.doc_of_anchor]), side="right") - 1
-        split = np.nonzero(early != unit)[0]
-        self.held = np.concatenate([np.arange(len(unit)), split])
-        self.held_unit = np.concatenate([unit, early[split]])
+        self.digests = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(self.starts.tolist(), self.stops.tolist(), strict=True)]
+        halves = np.frombuffer(b"".join(self.digests), np.uint64).reshape(-1, 2)
+        self.hash, self.more = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+
+
+def _held(anchors: Anchors, units: Units, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an anchor and a unit in which its strings start: its own unit or the one before."""
+    unit = np.searchsorted(units.starts, anchors.at, side="right") - 1
+    early = np.searchsorted(units.starts, np.maximum(anchors.at - _REACH, bounds[:-1][anchors.doc]), side="right") - 1
+    split = np.nonzero(early != unit)[0]
+    return np.concatenate([np.arange(len(unit)), split]), np.concatenate([unit, early[split]])
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -194,9 +211,11 @@ def _survey(docs: DataFrame, buckets: int) -> DataFrame:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, j in runs(bounds, RUN_BYTES):
-                m = Marks(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                own = ids[i:j]
-                for part, values in zip(parts, (m.anchor_hash[m.held], m.unit_hash[m.held_unit], own[m.doc_of_anchor[m.held]], m.unit_hash, m.unit_more, own[m.doc_of_start]), strict=True):
+                text, base, own = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], ids[i:j]
+                at, starts = _found(text, base)
+                anchors, units = Anchors(text, base, at), Units(text, base, starts)
+                anchor, unit = _held(anchors, units, base)
+                for part, values in zip(parts, (anchors.hash[anchor], units.hash[unit], own[anchors.doc[anchor]], units.hash, units.more, own[units.doc]), strict=True):
                     part.append(values)
             if not parts[0]:
                 continue
@@ -278,16 +297,16 @@ def _segments(docs: DataFrame, buckets: int) -> DataFrame:
                 rows: list[tuple] = []
                 spans: dict[int, list[tuple[int, int]]] = {}
                 own, base = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
-                m = Marks(own, base)
+                m = Anchors(own, base)
                 marks, row = _listed(batch.column("anchors"), i, j)
                 mark = marks.view(np.uint64)
                 asked, one = np.unique(shingles.mix((mark & _LOW48) + shingles.mix(row.astype(np.uint64) + np.uint64(1))), return_index=True)
-                row_of = m.doc_of_anchor
-                key = shingles.mix((m.anchor_hash & _LOW48) + shingles.mix(row_of.astype(np.uint64) + np.uint64(1)))
+                row_of = m.doc
+                key = shingles.mix((m.hash & _LOW48) + shingles.mix(row_of.astype(np.uint64) + np.uint64(1)))
                 at = np.minimum(np.searchsorted(asked, key), max(len(asked) - 1, 0))
                 hit = np.nonzero(asked[at] == key)[0] if len(asked) else at[:0]
                 hot = mark[one[at[hit]]] > _LOW48
-                q, h, row_of = m.anchors[hit], m.anchor_hash[hit], row_of[hit]
+                q, h, row_of = m.at[hit], m.hash[hit], row_of[hit]
                 begin, end = np.maximum(base[row_of], q - _REACH), np.minimum(base[row_of + 1], q + LENGTH)
                 data = own.tobytes()
                 every = zip(row_of.tolist(), begin.tolist(), end.tolist(), (q - begin).tolist(), h.view(np.int64).tolist(), _bucket(h, buckets).tolist(), hot.tolist(), strict=True)
@@ -481,19 +500,33 @@ def _marks(docs: DataFrame, buckets: int, hot_anchor: int) -> DataFrame:
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("print", "mark", "more", "a", "b")).alias("marks"))
 
 
-def _gone(raw: np.ndarray, marks: list[dict], print_: int) -> np.ndarray:
-    """Which bytes of a text are removed."""
+def _gone(raw: np.ndarray, bounds: np.ndarray, prints: np.ndarray, marks: pa.ListArray) -> np.ndarray:
+    """Which bytes of consecutive texts are removed by their marks."""
+    offsets, listed = marks.offsets.to_numpy(), marks.values
+    row = np.repeat(np.arange(len(prints)), np.diff(offsets))
+    unit = listed.field("print").is_null().to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    print_, mark, more, a, b = (listed.field(k).fill_null(0).to_numpy()[offsets[0] : offsets[-1]] for k in ("print", "mark", "more", "a", "b"))
+    own = ~unit & (print_ == prints[row])
+    begin, end = [bounds[row[own]] + a[own]], [bounds[row[own]] + b[own]]
+    copied: dict[int, set[bytes]] = {}
+    both = np.stack([mark[unit], more[unit]], 1).tobytes()
+    for k, r in enumerate(row[unit].tolist()):
+        copied.setdefault(r, set()).add(both[16 * k : 16 * k + 16])
+    sizes = np.diff(bounds)
+    chosen = np.array([r for r in sorted(copied) if sizes[r] >= LENGTH], np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes[chosen])])
+    for i, j in runs(ends, RUN_BYTES):
+        text = np.concatenate([raw[bounds[r] : bounds[r + 1]] for r in chosen[i:j].tolist()])
+        base = ends[i : j + 1] - ends[i]
+        units = Units(text, base)
+        hit = np.array([d in copied[r] for r, d in zip(chosen[i:j][units.doc].tolist(), units.digests, strict=True)], bool) & (units.stops - units.starts >= LENGTH)
+        moved = (bounds[chosen[i:j]] - base[:-1])[units.doc[hit]]
+        begin.append(units.starts[hit] + moved)
+        end.append(units.stops[hit] + moved)
     change = np.zeros(len(raw) + 1, np.int32)
-    units = {m["mark"].to_bytes(8, "little", signed=True) + m["more"].to_bytes(8, "little", signed=True) for m in marks if m["print"] is None}
-    if units and len(raw) >= LENGTH:
-        m = Marks(raw, np.array([0, len(raw)]))
-        hit = np.array([u in units for u in m.units], bool) & (m.stops - m.starts >= LENGTH)
-        np.add.at(change, m.starts[hit], 1)
-        np.add.at(change, m.stops[hit], -1)
-    own = np.array([(m["a"], m["b"]) for m in marks if m["print"] == print_], np.int64).reshape(-1, 2)
-    np.add.at(change, own[:, 0], 1)
-    np.add.at(change, own[:, 1], -1)
-    return np.cumsum(change[:-1]) > 0
+    np.add.at(change, np.concatenate(begin), 1)
+    np.add.at(change, np.concatenate(end), -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def remove_repeats(docs: DataFrame, *, keep: list[str], whole_characters: bool = False, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
@@ -512,28 +545,21 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], whole_characters: bool =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = utf8(batch.column("text"))
-            prints, marks = batch.column("print").to_pylist(), batch.column("marks")
-            removed, spans, kept = [], [], []
-            for r in range(batch.num_rows):
-                text = raw[bounds[r] : bounds[r + 1]]
-                listed = marks[r].as_py()
-                if not listed:
-                    removed.append(0)
-                    spans.append(0)
-                    kept.append(text.tobytes())
-                    continue
-                gone = _gone(text, listed, prints[r])
-                if whole_characters:
-                    lead = (text & 0xC0) != 0x80
-                    char = np.cumsum(lead) - 1
-                    gone = (np.bincount(char, weights=~gone) == 0)[char]
-                removed.append(int(gone.sum()))
-                spans.append(int((gone[1:] & ~gone[:-1]).sum()) + int(gone[:1].sum()))
-                kept.append(text[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(ROW), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                names=[ROW, "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            sizes = np.diff(bounds)
+            gone = _gone(raw, bounds, batch.column("print").to_numpy(), batch.column("marks"))
+            first = bounds[:-1][sizes > 0]
+            if whole_characters and gone.any():
+                lead = (raw & 0xC0) != 0x80
+                lead[first] = True
+                char = np.nonzero(lead)[0]
+                gone = np.repeat(np.logical_and.reduceat(gone, char), np.diff(np.append(char, len(raw))))
+            fresh = gone.copy()
+            fresh[1:] &= ~gone[:-1]
+            fresh[first] = gone[first]
+            before, spans = (np.concatenate([[0], np.cumsum(x)])[bounds] for x in (gone, fresh))
+            at = (bounds - before).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at), pa.py_buffer(raw[~gone])])
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(sizes), pa.array(np.diff(before)), pa.array(np.diff(spans)), kept], names=[ROW, "n_bytes", "n_removed", "n_spans", "kept"])
 
     done = marked.mapInArrow(tidy(cut), with_row(packed, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
     return done.select(*unpack(keep, ["n_bytes", "n_removed", "n_spans", "kept"]))
