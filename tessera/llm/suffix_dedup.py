@@ -46,6 +46,8 @@ RADIUS = 128
 RUN_BYTES = 1 << 18
 #: Text that one bucket answers for.
 BUCKET_BYTES = 1 << 20
+#: Parts of such a bucket that are sorted on their own.
+SORTED_PARTS = 4
 #: Documents of one anchor from which on the text around it is dealt by the bytes beside the anchor as well.
 HOT_ANCHOR = 2000
 #: Pieces of text around anchors that a task remembers, to tell copies at once.
@@ -492,7 +494,7 @@ def _marks(docs: DataFrame, buckets: int, hot_anchor: int) -> DataFrame:
     resolved = scratch(dealt.groupBy("bucket").applyInArrow(lambda t: _resolve(t, hot_anchor), "doc_id bigint, kind int, mark bigint, more bigint"), "resolved")
     asked = resolved.where("kind = 0").groupBy("doc_id").agg(F.collect_list("mark").alias("anchors"))
     texts = named.select("doc_id", F.xxhash64("text").alias("print"), "text").join(asked, "doc_id")
-    around = _segments(texts, buckets)
+    around = _segments(texts, buckets * SORTED_PARTS)
     spans = around.groupBy("bucket").applyInArrow(_removed, "doc_id bigint, print bigint, a bigint, b bigint")
     none = F.lit(0).cast("bigint")
     copied = resolved.where("kind = 1").select("doc_id", F.lit(None).cast("bigint").alias("print"), "mark", "more", none.alias("a"), none.alias("b"))
