@@ -60,6 +60,18 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_alone(df: DataFrame, name: str) -> DataFrame:
+    """``scratch``, after which the shuffle files of its own plan go at once; as a rule they stay on the executors'
+    disks until the driver happens to collect what refers to them."""
+    setting, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
+    before = conf.get(setting)
+    conf.set(setting, "true")
+    try:
+        return scratch(df, name)
+    finally:
+        conf.set(setting, before)
+
+
 def held(df: DataFrame, shelf: list[DataFrame] | None = None) -> DataFrame:
     """Keep ``df`` on the executors' disks for use in several places. What a lost executor held is computed again.
     ``shelf`` lists what the caller gives up with ``unpersist`` when its result is written."""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles
-from tessera.llm.common import ROW, bounded_batches, pack, runs, scratch, table, tidy, unpack, utf8, with_row
+from tessera.llm.common import ROW, bounded_batches, pack, runs, scratch_alone, table, tidy, unpack, utf8, with_row
 
 LENGTH = 50
 GRAM = 24
@@ -491,14 +491,14 @@ def _marks(docs: DataFrame, buckets: int, hot_anchor: int) -> DataFrame:
     """doc_id and its marks (print, mark, more, a, b): spans to remove where print is set, else a copied unit."""
     named = docs.where("doc_id IS NOT NULL")
     dealt = _survey(named.select("doc_id", "text"), buckets)
-    resolved = scratch(dealt.groupBy("bucket").applyInArrow(lambda t: _resolve(t, hot_anchor), "doc_id bigint, kind int, mark bigint, more bigint"), "resolved")
+    resolved = scratch_alone(dealt.groupBy("bucket").applyInArrow(lambda t: _resolve(t, hot_anchor), "doc_id bigint, kind int, mark bigint, more bigint"), "resolved")
     asked = resolved.where("kind = 0").groupBy("doc_id").agg(F.collect_list("mark").alias("anchors"))
     texts = named.select("doc_id", F.xxhash64("text").alias("print"), "text").join(asked, "doc_id")
     around = _segments(texts, buckets * SORTED_PARTS)
     spans = around.groupBy("bucket").applyInArrow(_removed, "doc_id bigint, print bigint, a bigint, b bigint")
     none = F.lit(0).cast("bigint")
     copied = resolved.where("kind = 1").select("doc_id", F.lit(None).cast("bigint").alias("print"), "mark", "more", none.alias("a"), none.alias("b"))
-    every = scratch(spans, "spans").select("doc_id", "print", none.alias("mark"), none.alias("more"), "a", "b").unionByName(copied)
+    every = scratch_alone(spans, "spans").select("doc_id", "print", none.alias("mark"), none.alias("more"), "a", "b").unionByName(copied)
     return every.groupBy("doc_id").agg(F.collect_list(F.struct("print", "mark", "more", "a", "b")).alias("marks"))
 
 
