@@ -15,6 +15,8 @@ from tessera.functions.numeric import amortized, per_correct
 
 VOLUMES = (1.0, 100.0, 10_000.0)
 METHOD = ("provider", "model")
+#: Ranges of cost that a frontier is taken over.
+COST_RANGES = 256
 
 
 def tokens_at(volume: Column | float) -> Column:
@@ -91,13 +93,19 @@ def frontier(points: DataFrame, cost: str, gain: str) -> DataFrame:
     """Points that no other beats in cost and gain; ties stay.
 
     A point stays if it has the best gain at its cost and beats all cheaper ones. Best gains per
-    distinct cost are aggregated first; the running maximum then passes over one row a cost.
+    distinct cost are aggregated first. Costs fall into at most ``COST_RANGES`` + 1 ranges: a running maximum
+    over one row a range, and one over the costs of each range, need no window over all costs.
     """
     from pyspark.sql import Window
 
     best = points.groupBy(cost).agg(F.max(gain).alias("_best"))
-    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    kept = best.withColumn("_before", F.max("_best").over(cheaper)).where("_before IS NULL OR _best > _before").select(F.col(cost).alias("_cost"), "_best")
+    marks = best.agg(F.percentile_approx(cost, F.array(*[F.lit(k / COST_RANGES) for k in range(COST_RANGES)]), 10_000)).scalar()
+    ranged = best.withColumn("_marks", marks).withColumn("_range", F.coalesce(F.size(F.filter("_marks", lambda m: m < F.col(cost))), F.lit(0))).drop("_marks")
+    ranges = ranged.groupBy("_range").agg(F.max("_best").alias("_top"))
+    lower = ranges.withColumn("_lower", F.max("_top").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    cheaper = Window.partitionBy("_range").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
+    passed = ranged.withColumn("_before", F.max("_best").over(cheaper)).join(F.broadcast(lower), "_range")  # a row a range
+    kept = passed.where("coalesce(greatest(_before, _lower) < _best, true)").select(F.col(cost).alias("_cost"), "_best")
     return points.join(kept, (F.col(cost) == F.col("_cost")) & (F.col(gain) == F.col("_best")), "left_semi")
 
 

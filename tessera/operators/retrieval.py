@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +39,13 @@ def bm25(corpus: DataFrame, queries: DataFrame, key: str, query_key: str, text:
     """
     double = lambda x: F.lit(float(x))
     tokens = corpus.select(key, word_tokens(F.col(text)).alias("_w"))
-    shape = tokens.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("_w")).alias("avgdl"))
-    n, avgdl = shape.select("n").scalar(), shape.select("avgdl").scalar()
-    terms = tokens.select(F.explode(F.array_distinct("_w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = terms.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    # One pass counts the texts of every word, and under no word all texts and their words.
+    each = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct("_w"), F.array().cast("array<string>"))))
+    counted = tokens.select(F.size("_w").alias("dl"), each.alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("dl").alias("mean_dl"))
+    counted = materialized(counted, "terms")
+    shape = counted.where("term IS NULL")
+    n, avgdl = shape.agg(F.coalesce(F.max("df"), F.lit(0)).cast("double")).scalar(), shape.agg(F.max("mean_dl")).scalar()
+    idf = counted.where("term IS NOT NULL").select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = idf.agg(F.avg("raw")).scalar()
     asked = queries.select(query_key, F.explode(word_tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("times"))
     weights = asked.join(idf, "term").select(query_key, "term", "times", F.when(F.col("raw") < 0, mean * NEGATIVE_SHARE).otherwise(F.col("raw")).alias("idf"))
@@ -113,20 +117,25 @@ def link_rank(edges: DataFrame, damping: float = DAMPING, iterations: int = ITER
     ``edges`` (source, target) are distinct; ``nodes`` (node) may add some without any. Without nodes there are no
     rows. Lineage is cut every few steps.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = materialized(edges.select("source", "target"), "edges")
     out = edges.groupBy("source").agg(F.count(F.lit(1)).alias("degree"))
-    weighted = materialized(edges.join(out, "source").select("source", "target", (1 / F.col("degree")).alias("weight")), "weights")
     linked = edges.select("source").union(edges.select("target")).toDF("node")
     nodes = materialized((linked.union(nodes.select("node")) if nodes is not None else linked).distinct(), "nodes")
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     if not n:
         return rank
+    # Both stay dealt by the key that each step joins on, so that a step moves nothing but ranks.
+    weighted = edges.join(out, "source").select("source", "target", (1 / F.col("degree")).alias("weight")).repartition(parts, "source").persist(StorageLevel.DISK_ONLY)
+    dealt = nodes.repartition(parts, "node").persist(StorageLevel.DISK_ONLY)
     for step in range(1, iterations + 1):
         given = weighted.join(rank.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("weight") * F.col("rank")).alias("given"))
-        rank = nodes.join(given, "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
+        rank = dealt.join(given, "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("given", F.lit(0.0))).alias("rank"))
         if step % every == 0:
             rank = materialized(rank, "rank")
+    weighted.unpersist()
+    dealt.unpersist()
     return rank
 
 

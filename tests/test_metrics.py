@@ -91,3 +91,19 @@ def test_half_even_and_power(spark):
     rows = spark.createDataFrame([(x,) for x in (0.5, 1.5, 2.5, 3.5)], "x double").select(half_even(F.col("x")).alias("r")).collect()
     assert [r["r"] for r in rows] == [0, 2, 2, 4]
     assert round(required_sample(0.4)) == 49
+
+
+def test_frontier_over_many_ranges_of_cost(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(k, float(rng.randrange(3000)), rng.randrange(3000) + rng.random() * (k % 3)) for k in range(4000)] + [(4000, float("inf"), 9e9), (4001, 0.0, -1.0)]
+    points = spark.createDataFrame(rows, "k int, cost double, gain double")
+    want, best = set(), float("-inf")
+    for cost in sorted({r[1] for r in rows}):
+        top = max(r[2] for r in rows if r[1] == cost)
+        if top > best:
+            best = top
+            want |= {r[0] for r in rows if r[1] == cost and r[2] == top}
+    assert {r["k"] for r in metrics.frontier(points, "cost", "gain").collect()} == want
+    assert metrics.frontier(points.limit(0), "cost", "gain").count() == 0

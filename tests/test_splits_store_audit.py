@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,18 @@ def test_usage(spark):
     log = spark.createDataFrame([("2024-01-01", None, 1, 2, None), ("2024-01-01", "m", None, 3, 5)], "date string, model string, input_tokens bigint, output_tokens bigint, cache_read bigint").withColumn("date", F.to_date("date")).withColumn("cache_creation", F.lit(None).cast("bigint"))
     got = {r["model"]: r for r in usage.daily_totals(usage.with_total(log)).collect()}
     assert got["unknown"]["total_tokens"] == 3 and got["m"]["input_tokens"] == 0 and got[None]["calls"] == 2 and got[None]["output_tokens"] == 5
+
+
+def test_splits_of_large_strata(spark):
+    items = spark.range(20_000).selectExpr("concat('t', cast(id AS string)) AS task_id", "cast(id % 7 = 0 AS int) AS s")
+    got = {(r["s"], r["task_id"]): r["split"] for r in splits.assign_splits(items, ["s"]).collect()}
+    for s in (0, 1):
+        keys = sorted(f"t{i}" for i in range(20_000) if int(i % 7 == 0) == s)
+        held = round(0.2 * len(keys))
+        assert [got[s, k] for k in keys] == ["public"] * (len(keys) - held) + ["heldout"] * held
+    quotas = spark.createDataFrame([(0, 500), (1, 3)], "s int, slots bigint")
+    order = F.md5(F.col("task_id").cast("binary"))
+    sample = {(r["s"], r["task_id"]) for r in splits.stratified_sample(items, quotas, ["s"], order).collect()}
+    for s, n in ((0, 500), (1, 3)):
+        keys = sorted((hashlib.md5(f"t{i}".encode()).hexdigest(), f"t{i}") for i in range(20_000) if int(i % 7 == 0) == s)
+        assert {k for t, k in sample if t == s} == {k for _, k in keys[:n]}
