@@ -2,11 +2,15 @@
 
 Documents that pass the counted rules are judged by the mean log ratio of their hashed
 word unigrams and bigrams between a trusted-target multinomial and the raw-corpus
-multinomial. Everything runs as DataFrame expressions: the corpus counts are one
+multinomial. Everything runs as DataFrame expressions: the corpus counts are a
 map-side combined aggregate over all documents, with one bucket per ``BUCKET_BYTES`` of
 text, so that as many n-grams share a bucket at every size. Up to ``ARRAY_BUCKETS`` the
 model is an array and each document is scored where it lies; a larger one is joined by bucket.
 
+A task's counts of nearly all buckets are sent, so the bytes sent are tasks times buckets, and both
+grow with the text. Hence ``COUNT_PARTS`` tasks count for an array. For a larger model the documents are
+counted in up to as many blocks and scored in up to ``JOIN_BLOCKS``, whose shuffle files go before the next one.
+
 The threshold is the cut that judges the fewest labelled documents wrong, in the middle of
 the gap it falls in. A trusted document's own n-grams do not count for it there (each as if
 it stood once in its bucket), as unlabelled documents are not in the target either.
@@ -18,10 +22,13 @@ Repeated rows each keep a result row; without trusted rows the ratio is neutral.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held, table
+from tessera.llm.common import held, scratch_alone, table
 
 #: Column that marks the documents of the target.
 TARGET = "tessera_target"
@@ -33,6 +40,13 @@ BUCKET_BYTES = 512
 LEAST_BUCKETS = 1 << 16
 #: Buckets of a model that is sent to the executors as an array; more are joined.
 ARRAY_BUCKETS = 1 << 22
+#: Parts of the corpus that are counted on their own: a bucket's counts are sent at most so often.
+COUNT_PARTS = 8
+#: Blocks of documents whose n-grams are joined with a model that is no array, and the fewest buckets there are for each.
+JOIN_BLOCKS = 32
+BLOCK_BUCKETS = 1 << 18
+#: Buckets of a task of that join.
+TASK_BUCKETS = 1 << 20
 #: Trusted doc_ids that are sent to the executors (some 30 bytes each); more are joined by sorting, which moves the texts.
 SENT_IDS = 5_000_000
 #: Buckets gathered into one row before the array is put together.
@@ -135,27 +149,58 @@ def _means_by_array(counted: DataFrame, counts: DataFrame, buckets: int) -> Data
     return scored.withColumns(means).drop("hashes", "ratios", "losses")
 
 
+def _blocks(docs: DataFrame, trusted: DataFrame, buckets: int, most: int) -> Iterator[DataFrame]:
+    """``_marked`` documents in up to ``most`` parts by doc_id, as the trusted ones."""
+    blocks = min(most, max(1, buckets // BLOCK_BUCKETS))
+    block = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(blocks))
+    for k in range(blocks):
+        yield _marked(docs.where(block == k), trusted.where(block == k))
+
+
+def _counts_by_block(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """``gram_counts`` of all documents, a block at a time."""
+    parts = [scratch_alone(gram_counts(marked, buckets), "op4-counts") for marked in _blocks(docs, trusted, buckets, COUNT_PARTS)]
+    whole = reduce(DataFrame.unionByName, parts).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return scratch_alone(whole, "op4-counts")
+
+
 def _means_by_join(counted: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
     """As by array. Rows with equal words share a key and a mean, so their n-grams may be summed together."""
     keyed = counted.withColumn("key", F.struct(F.xxhash64("hashes").alias("a"), F.xxhash64(F.lit(1), "hashes").alias("b")))
     cells = counts.select("bucket", _ratio().alias("ratio"), _loss().cast("float").alias("loss"))
     grams = keyed.select("key", F.explode(_grams(F.col("hashes"), buckets)).alias("bucket"))
-    means = grams.join(cells, "bucket").groupBy("key").agg(F.avg("ratio").alias("mean_ratio"), F.avg("loss").alias("mean_loss"))
+    # Few tasks, so that one meets several n-grams of a document and sends their sum.
+    tasks = max(16, buckets // TASK_BUCKETS)
+    both = grams.repartition(tasks, "bucket").join(cells.repartition(tasks, "bucket").hint("shuffle_hash"), "bucket")
+    means = both.groupBy("key").agg(F.avg("ratio").alias("mean_ratio"), F.avg("loss").alias("mean_loss"))
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
     return keyed.withColumn("n_grams", n_grams).drop("hashes").join(means, "key", "left").drop("key")
 
 
+def _means_by_block(docs: DataFrame, trusted: DataFrame, counts: DataFrame, buckets: int, keep: list[str]) -> DataFrame:
+    """``_means_by_join`` of all documents, a block at a time."""
+    done = []
+    for marked in _blocks(docs, trusted, buckets, JOIN_BLOCKS):
+        counted = held(base_counts(marked, keep=keep))
+        done.append(scratch_alone(_means_by_join(counted, counts, buckets), "op4-means"))
+        counted.unpersist()
+    return reduce(DataFrame.unionByName, done)
+
+
 def score_quality(docs: DataFrame, trusted: DataFrame, *, keep: list[str], buckets: int | None = None, array_buckets: int = ARRAY_BUCKETS) -> DataFrame:
     """``keep`` columns, the counted rules, the mean log ratio and, of a trusted document, the mean without its own n-grams in the target.
 
     ``trusted`` has column doc_id. Raw counts take every document, the target every trusted one.
     """
+    counted = docs if buckets else docs.coalesce(COUNT_PARTS)
     buckets = buckets or buckets_for(docs)
-    marked = _marked(docs, trusted)
-    counts = held(gram_counts(marked, buckets))
+    if buckets <= array_buckets:
+        counts = held(gram_counts(_marked(counted, trusted), buckets))
+        scored = _means_by_array(base_counts(_marked(docs, trusted), keep=[*keep, TARGET]), counts, buckets)
+    else:
+        counts = _counts_by_block(docs, trusted, buckets)
+        scored = _means_by_block(docs, trusted, counts, buckets, [*keep, TARGET])
     sums = held(counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")))
-    means = _means_by_array if buckets <= array_buckets else _means_by_join
-    scored = means(base_counts(marked, keep=[*keep, TARGET]), counts, buckets)
     raw, target = sums.select("raw").scalar(), sums.select("target").scalar()
     ratio = F.col("mean_ratio") + F.log(raw + F.lit(buckets)) - F.log(target + F.lit(buckets))
     others = F.greatest(target - F.col("n_grams"), F.lit(0))

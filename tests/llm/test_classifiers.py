@@ -116,6 +116,34 @@ def test_quality_model_follows_the_corpus(spark, labelled):
     assert nothing.where("log_ratio <> 0 OR kept = base_failed").count() == 0
 
 
+def test_quality_counts_are_sent_a_few_times_only(spark, labelled, monkeypatch):
+    """Not once for every partition that has a bucket; a model that is no array takes the documents in blocks."""
+    docs, trusted = labelled.select("doc_id", "text").repartition(24), labelled.where("quality = 1").select("doc_id")
+    asked, joined = [], []
+    count, join = quality_rules.gram_counts, quality_rules._means_by_join
+    monkeypatch.setattr(quality_rules, "BLOCK_BUCKETS", quality_rules.LEAST_BUCKETS // 3)
+    monkeypatch.setattr(quality_rules, "gram_counts", lambda marked, *a: asked.append(marked) or count(marked, *a))
+    monkeypatch.setattr(quality_rules, "_means_by_join", lambda counted, *a: joined.append(counted.count()) or join(counted, *a))
+    quality_rules.score_quality(docs, trusted, keep=["doc_id"]).collect()
+    assert len(asked) == 1 and asked[0].rdd.getNumPartitions() <= quality_rules.COUNT_PARTS
+    quality_rules.score_quality(docs, trusted, keep=["doc_id"], array_buckets=0).collect()
+    parts = [m.count() for m in asked[1:]]
+    assert sum(joined) == sum(parts) == docs.count() and len(joined) == len(parts) == 3 and max(joined + parts) < docs.count() / 2
+
+
+def test_quality_blocks_hold_odd_rows(spark, monkeypatch):
+    """Null and repeated doc_ids, copies, texts without words, trusted ids of another type."""
+    monkeypatch.setattr(quality_rules, "BLOCK_BUCKETS", quality_rules.LEAST_BUCKETS // 3)
+    rng = random.Random(8)
+    rows = [(i % 50 or None, prose(rng, 40)) for i in range(120)]
+    rows += [(200 + i, rows[1][1]) for i in range(5)] + [(300, None), (301, " \n"), (302, "one"), (303, ""), (1, rows[1][1])]
+    docs, trusted = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i,) for i in range(0, 40, 2)] + [(None,), (2,)], "doc_id int")
+    by = [quality_rules.score_quality(docs, trusted, keep=["doc_id"], array_buckets=n) for n in (0, 1 << 22)]
+    rounded = lambda v: round(v, 9) if isinstance(v, float) else v
+    joined, array = (sorted([tuple(rounded(v) for v in r) for r in x.select(*by[0].columns).collect()], key=str) for x in by)
+    assert joined == array and len(array) == len(rows)
+
+
 TONGUES = {"aa": "abra kadab ramak lota ", "bb": "xyzzy plugh quux fnord ", "cc": "ñandú señor mañana óleo "}
 
 
